@@ -331,7 +331,8 @@ def oracle_sql() -> dict[str, str]:
                 FROM site_days s CROSS JOIN bounds
                 LEFT JOIN log_days l ON l.domain = s.domain AND l.dt = s.dt
                 WHERE s.dt <= last_dt) WHERE reason IS NOT NULL""",
-        "refreshed_log": _LOG + " SELECT domain, dt, count(*) AS rows FROM access_log GROUP BY ALL",
+        "refreshed_log": _LOG + _NARROW,
+        "refreshed_month_totals": _traffic("month", "hits, visitors, bot_hits, bot_visitors"),
         "compaction_plan": _LOG
         + _LOG_DAYS
         + """ SELECT domain, dt, CASE WHEN done THEN 0 ELSE n END AS rows,

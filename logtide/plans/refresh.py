@@ -1,7 +1,7 @@
 """Incremental refresh: recompute only the days that changed.
 
 Three stored levels build on each other: the narrow log extract, the visitor
-table with the day tables, and the published month and year reports.
+rows with the day figures, and the published month and year reports.
 """
 
 from __future__ import annotations
@@ -15,14 +15,21 @@ from logtide.functions.calendars import DateLike, date_column
 from logtide.functions.requests import BotMap
 from logtide.operators import rollups
 from logtide.operators.requests import classify
-from logtide.plans.reports import day_tables, publish
+from logtide.plans.reports import day_metrics
 from logtide.plans.tables import broadcast_if_small, write_partitioned
-from logtide.schema import COMPACT_SORT_KEYS, DAY_KEYS, NARROW_COLUMNS, VISITOR_SCHEMA
+from logtide.schema import (
+    COMPACT_SORT_KEYS,
+    DAY_KEYS,
+    DAY_METRICS_SCHEMA,
+    NARROW_COLUMNS,
+    VISITOR_SCHEMA,
+)
 from logtide.sources.logs import day_partitions, read_narrow
 from logtide.sources.storage import drop_days, partition_days, settled
 
 NARROW = "narrow_log"
 VISITORS = "visitors"
+METRICS = "day_metrics"
 
 
 def sync_plan(
@@ -73,41 +80,73 @@ def _days(keys: DataFrame) -> list[tuple[str, date]]:
     return [(r.domain, r.dt) for r in keys.select(*DAY_KEYS).collect()]
 
 
-def refresh(
+def sync_log(
     spark: SparkSession,
     log: DataFrame,
     wanted: DataFrame,
     root: str,
-    bots: BotMap,
     as_of: DateLike,
     forced: Column | None = None,
 ) -> DataFrame:
-    """Fetch the planned days, then rebuild their visitor and day tables.
+    """Fetch the planned days of ``log`` into the narrow extract; returns the plan.
 
-    Cached days that lost their visitor rows are rebuilt as well. A replaced day
-    is deleted first, so one that comes back empty does not keep old rows.
-    Returns the executed plan. A failed run can simply be run again.
+    A day that is fetched again is deleted first, so one that comes back empty
+    does not keep old rows. After a failed run the day is simply not cached.
     """
-    narrow, visitors = f"{root}/{NARROW}", f"{root}/{VISITORS}"
-    # The plan depends on the tables this job rewrites, so it is fixed first.
-    plan = settled(
-        spark, sync_plan(wanted, partition_days(spark, narrow), as_of, forced), "sync-plan"
-    )
-    drop_days(spark, narrow, _days(plan.where(F.col("reason") != "new")))
+    table = f"{root}/{NARROW}"
+    plan = sync_plan(wanted, partition_days(spark, table), as_of, forced)
+    # The plan depends on the table this job rewrites, so it is fixed first.
+    plan = settled(spark, plan, "sync-plan")
+    drop_days(spark, table, _days(plan.where(F.col("reason") != "new")))
     planned = broadcast_if_small(plan.select(*DAY_KEYS))
     write_narrow(log.join(planned, DAY_KEYS, "left_semi"), root)
+    return plan
+
+
+def rebuild_tables(
+    spark: SparkSession, wanted: DataFrame, plan: DataFrame, root: str, bots: BotMap | DataFrame
+) -> DataFrame:
+    """Rebuild the visitor rows and day figures of the synced days; returns those days.
 
+    Days without visitor rows are rebuilt as well. Visitor rows are deleted
+    first and written last: should a run fail in between, the next one finds
+    them missing and rebuilds both tables for the day.
+    """
+    visitors = f"{root}/{VISITORS}"
     without_visitors = wanted.join(partition_days(spark, visitors), DAY_KEYS, "left_anti")
     stale = without_visitors.union(plan.select(*DAY_KEYS)).distinct()
     stale = settled(spark, stale, "stale-days")
-    # Visitor rows go first and come back last: should the run fail in between,
-    # the next one finds them missing and rebuilds the day tables too.
-    drop_days(spark, visitors, _days(stale))
-    changed = read_narrow(spark, narrow).join(broadcast_if_small(stale), DAY_KEYS, "left_semi")
+    changed = read_narrow(spark, f"{root}/{NARROW}").join(
+        broadcast_if_small(stale), DAY_KEYS, "left_semi"
+    )
     requests = classify(changed, bots)
-    tables = day_tables(requests, stale)
-    for name in tables:
-        drop_days(spark, f"{root}/{name}", _days(stale))
-    publish(tables, root)
+    days = _days(stale)
+    drop_days(spark, visitors, days)
+    drop_days(spark, f"{root}/{METRICS}", days)
+    order = ["metric", "hour", F.desc("hits"), "name"]
+    write_partitioned(day_metrics(requests, stale), f"{root}/{METRICS}", DAY_KEYS, order)
     write_visitors(requests, root)
+    return stale
+
+
+def refresh(
+    spark: SparkSession,
+    log: DataFrame,
+    wanted: DataFrame,
+    root: str,
+    bots: BotMap | DataFrame,
+    as_of: DateLike,
+    forced: Column | None = None,
+) -> DataFrame:
+    """Sync the log, then rebuild what depends on it. Returns the executed plan."""
+    plan = sync_log(spark, log, wanted, root, as_of, forced)
+    rebuild_tables(spark, wanted, plan, root, bots)
     return plan
+
+
+def read_day_metrics(
+    spark: SparkSession, root: str, first: DateLike | None = None, last: DateLike | None = None
+) -> DataFrame:
+    """The stored day figures of a day range."""
+    table = spark.read.schema(DAY_METRICS_SCHEMA).parquet(f"{root}/{METRICS}")
+    return day_partitions(table, first, last)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,14 @@ from logtide.functions import shares
 from logtide.functions.calendars import GRAIN_COLUMNS
 from logtide.operators import calendars, gaps, rankings, rollups
 from logtide.plans.tables import write_partitioned
-from logtide.schema import TOP_BOTS, TOP_BOTS_YEAR, TOP_GAPS, TOP_PAGES, TOP_REFERERS
+from logtide.schema import (
+    DAY_METRICS_SCHEMA,
+    TOP_BOTS,
+    TOP_BOTS_YEAR,
+    TOP_GAPS,
+    TOP_PAGES,
+    TOP_REFERERS,
+)
 
 
 def traffic_report(requests: DataFrame, days: DataFrame, grain: str = "day") -> DataFrame:
@@ -114,33 +123,66 @@ def gap_report(requests: DataFrame, sitemap: DataFrame, days: DataFrame) -> Data
     return gaps.sitemap_gaps(sitemap, crawled, calendars.site_periods(days, "month"))
 
 
-def day_tables(requests: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
-    """Everything that is computed from the log day by day."""
-    return {
-        "daily_traffic": traffic_report(requests, days),
-        "hourly_traffic": hourly_report(requests, days),
-        "page_days": rollups.pages(rollups.page_visits(requests)),
-        "bot_days": rollups.bots(rollups.bot_requests(requests)),
-        "crawler_days": rollups.crawled_paths(rollups.crawler_hits(requests)),
-        "referer_days": rollups.referers(rollups.referred_hits(requests)),
+#: Metric of the day table -> what its ``name`` column holds.
+DAY_METRICS = {
+    "traffic": None,
+    "hour": None,
+    "page": "path",
+    "bot": "bot_name",
+    "crawled": "path",
+    "referer": "referer",
+}
+
+
+def day_metrics(requests: DataFrame, days: DataFrame) -> DataFrame:
+    """All day figures as one table, so that a day is one file and not six."""
+    parts = {
+        "traffic": traffic_report(requests, days),
+        "hour": hourly_report(requests, days),
+        "page": rollups.pages(rollups.page_visits(requests)),
+        "bot": rollups.bots(rollups.bot_requests(requests)),
+        "crawled": rollups.crawled_paths(rollups.crawler_hits(requests)),
+        "referer": rollups.referers(rollups.referred_hits(requests)),
     }
+    rows = []
+    for metric, part in parts.items():
+        part = part.withColumn("metric", F.lit(metric))
+        if DAY_METRICS[metric]:
+            part = part.withColumnRenamed(DAY_METRICS[metric], "name")
+        rows.append(
+            part.select(
+                *[
+                    (F.col(f.name) if f.name in part.columns else F.lit(None))
+                    .cast(f.dataType)
+                    .alias(f.name)
+                    for f in DAY_METRICS_SCHEMA.fields
+                ]
+            )
+        )
+    return reduce(DataFrame.unionByName, rows)
+
+
+def day_metric(table: DataFrame, metric: str) -> DataFrame:
+    """The rows of one metric of the day table, in the columns of its report."""
+    rows = table.where(F.col("metric") == metric)
+    if DAY_METRICS[metric]:
+        rows = rows.withColumnRenamed("name", DAY_METRICS[metric])
+    return rows
 
 
-def period_tables(
-    stored: dict[str, DataFrame], visitor_table: DataFrame | None, grain: str
-) -> dict[str, DataFrame]:
-    """Month or year reports from stored day tables; the log is not read again."""
-    traffic = rollups.stored_traffic(stored["daily_traffic"], grain, visitor_table)
-    pages = rollups.pages(stored["page_days"], grain)
-    bots = rollups.bots(stored["bot_days"], grain)
-    referers = rollups.referers(stored["referer_days"], grain)
+def period_tables(table: DataFrame, visitor_table: DataFrame | None, grain: str) -> dict[str, DataFrame]:
+    """Month or year reports from the stored day table; the log is not read again."""
+    traffic = rollups.stored_traffic(day_metric(table, "traffic"), grain, visitor_table)
+    pages = rollups.pages(day_metric(table, "page"), grain)
+    bots = rollups.bots(day_metric(table, "bot"), grain)
+    referers = rollups.referers(day_metric(table, "referer"), grain)
     top_bots = TOP_BOTS_YEAR if grain == "year" else TOP_BOTS
     return {
         f"{grain}_totals": traffic,
         f"{grain}_kpis": kpis(traffic, bots, grain),
         f"{grain}_pages": pages,
         f"{grain}_bots": bots,
-        f"{grain}_crawled_paths": rollups.crawled_paths(stored["crawler_days"], grain),
+        f"{grain}_crawled_paths": rollups.crawled_paths(day_metric(table, "crawled"), grain),
         f"{grain}_referers": referers,
         f"{grain}_top_pages": rankings.top_content_pages(pages, grain, TOP_PAGES),
         f"{grain}_static_assets": rankings.static_assets(pages, grain),
@@ -149,11 +191,21 @@ def period_tables(
     }
 
 
-def gap_tables(
-    stored: dict[str, DataFrame], sitemap: DataFrame, days: DataFrame
-) -> dict[str, DataFrame]:
+def day_panels(table: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
+    """The reports of single days from the stored day table."""
+    pages = rollups.pages(day_metric(table, "page"))
+    by_hour = day_metric(table, "hour").select("domain", "dt", "hour", "hits", "visitors")
+    return {
+        "day_panels": day_panel(pages, days),
+        "day_hours": by_hour,
+        "day_top_pages": rankings.top_content_pages(pages, "day", TOP_PAGES),
+        "day_static_assets": rankings.static_assets(pages, "day"),
+    }
+
+
+def gap_tables(table: DataFrame, sitemap: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
     """The gap reports from the stored crawler paths."""
-    crawled = rollups.crawled_paths(stored["crawler_days"], "month")
+    crawled = rollups.crawled_paths(day_metric(table, "crawled"), "month")
     missing = gaps.sitemap_gaps(sitemap, crawled, calendars.site_periods(days, "month"))
     return {
         "sitemap_gaps": missing,

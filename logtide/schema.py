@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql.types import (
     BooleanType,
     DateType,
+    IntegerType,
+    LongType,
     StringType,
     StructField,
     StructType,
@@ -94,3 +96,19 @@ VISITOR_SCHEMA = StructType(
         *_day_fields,
     ]
 )
+
+#: The stored figures of a day: one row per metric and its key (an hour, a path,
+#: a bot, a referer), all in one file per site and ordinary day.
+DAY_METRICS_SCHEMA = StructType(
+    [
+        StructField("metric", StringType()),
+        StructField("hour", IntegerType()),
+        StructField("name", StringType()),
+        StructField("hits", LongType()),
+        StructField("visitors", LongType()),
+        StructField("bot_hits", LongType()),
+        StructField("bot_visitors", LongType()),
+        StructField("last_crawl", DateType()),
+        *_day_fields,
+    ]
+)
