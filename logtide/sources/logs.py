@@ -62,7 +62,7 @@ def read_narrow(
     files that cannot be Parquet before they are opened.
     """
     if not glob_folders(spark, f"{table}/domain=*"):
-        return spark.createDataFrame([], LOG_SCHEMA)
+        return spark.createDataFrame([], LOG_SCHEMA).select(*DAY_KEYS, *NARROW_COLUMNS)
     log = spark.read.schema(LOG_SCHEMA).parquet(table)
     log = log.where(F.col("_metadata.file_size") >= MIN_PARQUET_BYTES)
     return day_partitions(log, first, last).select(*DAY_KEYS, *NARROW_COLUMNS)

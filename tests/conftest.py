@@ -15,6 +15,7 @@ def spark(tmp_path_factory) -> SparkSession:
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     )
     session = build_session(builder)
