@@ -6,8 +6,7 @@ rows with the day figures, and the published month and year reports.
 
 from __future__ import annotations
 
-from datetime import date
-
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,9 +74,10 @@ def read_visitors(
     return day_partitions(table, first, last).select(*DAY_KEYS, "c_ip", "is_bot")
 
 
-def _days(keys: DataFrame) -> list[tuple[str, date]]:
-    """Day keys on the driver, to delete their folders: (sites x days) at most."""
-    return [(r.domain, r.dt) for r in keys.select(*DAY_KEYS).collect()]
+def _drop(spark: SparkSession, table: str, days: DataFrame) -> None:
+    """Delete those of the days a table holds; the keys are (sites x days) at most."""
+    held = days.select(*DAY_KEYS).join(partition_days(spark, table), DAY_KEYS, "left_semi")
+    drop_days(spark, table, [(r.domain, r.dt) for r in held.collect()])
 
 
 def sync_log(
@@ -97,7 +97,7 @@ def sync_log(
     plan = sync_plan(wanted, partition_days(spark, table), as_of, forced)
     # The plan depends on the table this job rewrites, so it is fixed first.
     plan = settled(spark, plan, "sync-plan")
-    drop_days(spark, table, _days(plan.where(F.col("reason") != "new")))
+    _drop(spark, table, plan)
     planned = broadcast_if_small(plan.select(*DAY_KEYS))
     write_narrow(log.join(planned, DAY_KEYS, "left_semi"), root)
     return plan
@@ -119,13 +119,15 @@ def rebuild_tables(
     changed = read_narrow(spark, f"{root}/{NARROW}").join(
         broadcast_if_small(stale), DAY_KEYS, "left_semi"
     )
-    requests = classify(changed, bots)
-    days = _days(stale)
-    drop_days(spark, visitors, days)
-    drop_days(spark, f"{root}/{METRICS}", days)
+    # Read and classified once for the seven aggregations that follow. A lost
+    # block is computed again from the narrow table, which nothing changes here.
+    requests = classify(changed, bots).persist(StorageLevel.MEMORY_AND_DISK)
+    _drop(spark, visitors, stale)
+    # Every day has its zero rows at least, so the overwrite replaces them all.
     order = ["metric", "hour", F.desc("hits"), "name"]
     write_partitioned(day_metrics(requests, stale), f"{root}/{METRICS}", DAY_KEYS, order)
     write_visitors(requests, root)
+    requests.unpersist()
     return stale
 
 

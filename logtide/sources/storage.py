@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,11 @@ def settled(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
 
 def drop_days(spark: SparkSession, table: str, days: Iterable[tuple[str, date]]) -> None:
     """Delete the partition folders of the given days of a table."""
-    for domain, day in days:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/domain={domain}/dt={day}")
+
+    def drop(key: tuple[str, date]) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/domain={key[0]}/dt={key[1]}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    # Object stores answer slowly, so some calls run at a time.
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        list(pool.map(drop, days))
