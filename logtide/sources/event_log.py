@@ -49,17 +49,20 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
     pages = spark.read.schema(_PAGES).parquet(f"{sf_dir}/pages.parquet")
     page_count = pages.agg(F.max("page_id") + 1).scalar()
+    # The path depends on the page alone, so it is cut out of the URL once per
+    # page and not once per request.
+    paths = pages.selectExpr("page_id", "url", f"{_STEM} AS stem")
     requests = events.withColumn("page_id", F.col("event_id") % page_count).join(
-        pages, "page_id", "left"
+        paths, "page_id", "left"
     )
     return requests.selectExpr(
         f"{_DOMAIN} AS domain",
         "CAST(ts AS DATE) AS dt",
-        "substring(CAST(ts AS STRING), 1, 10) AS date",
+        "CAST(CAST(ts AS DATE) AS STRING) AS date",
         "substring(CAST(ts AS STRING), 12, 8) AS time",
         f"{_IP} AS c_ip",
         f"{_METHOD} AS cs_method",
-        f"{_STEM} AS cs_uri_stem",
+        "stem AS cs_uri_stem",
         f"{_STATUS} AS sc_status",
         f"{_REFERER} AS cs_Referer",
         f"{_AGENT} AS cs_User_Agent",
