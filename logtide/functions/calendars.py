@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from calendar import monthrange
 from datetime import date
 
 from pyspark.sql import Column
@@ -17,6 +19,19 @@ def date_column(value: DateLike) -> Column:
     return value if isinstance(value, Column) else F.lit(str(value)).cast("date")
 
 
+def month_range(month: str) -> tuple[date, date]:
+    """First and last day of a ``YYYY-MM`` month given as an argument."""
+    if not re.fullmatch("[0-9]{4}-[0-9]{1,2}", month):
+        raise ValueError(f"not a YYYY-MM month: {month!r}")
+    first = date(*map(int, month.split("-")), 1)
+    return first, first.replace(day=monthrange(first.year, first.month)[1])
+
+
+def year_range(year: str | int) -> tuple[date, date]:
+    """First and last day of a year given as an argument."""
+    return date(int(year), 1, 1), date(int(year), 12, 31)
+
+
 def utc_today() -> Column:
     return F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
 

@@ -312,6 +312,7 @@ def oracle_sql() -> dict[str, str]:
         "day_static_assets": _assets("dt"),
         "year_static_assets": _assets("year"),
         "top_bots": _top(_BOTS, "bots", "month", "bot_name", 5),
+        "day_top_bots": _top(_BOTS, "bots", "dt", "bot_name", 5),
         "year_top_bots": _top(_BOTS, "bots", "year", "bot_name", 10),
         "top_referers": _top(_REFERERS, "referers", "month", "referer", 15),
         "year_top_referers": _top(_REFERERS, "referers", "year", "referer", 15),

@@ -24,7 +24,7 @@ from logtide.schema import (
     VISITOR_SCHEMA,
 )
 from logtide.sources.logs import day_partitions, read_narrow
-from logtide.sources.storage import drop_days, partition_days, settled
+from logtide.sources.storage import drop_partitions, partition_days, settled
 
 NARROW = "narrow_log"
 VISITORS = "visitors"
@@ -77,7 +77,7 @@ def read_visitors(
 def _drop(spark: SparkSession, table: str, days: DataFrame) -> None:
     """Delete those of the days a table holds; the keys are (sites x days) at most."""
     held = days.select(*DAY_KEYS).join(partition_days(spark, table), DAY_KEYS, "left_semi")
-    drop_days(spark, table, [(r.domain, r.dt) for r in held.collect()])
+    drop_partitions(spark, [f"{table}/domain={r.domain}/dt={r.dt}" for r in held.collect()])
 
 
 def sync_log(

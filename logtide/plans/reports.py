@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.functions import shares
-from logtide.functions.calendars import GRAIN_COLUMNS
+from logtide.functions.calendars import GRAIN_COLUMNS, period_label
 from logtide.operators import calendars, gaps, rankings, rollups
 from logtide.plans.tables import write_partitioned
 from logtide.schema import (
@@ -213,16 +213,19 @@ def gap_tables(table: DataFrame, sitemap: DataFrame, days: DataFrame) -> dict[st
     }
 
 
-def publish(reports: dict[str, DataFrame], root: str) -> None:
+def publish(tables: dict[str, DataFrame], root: str) -> None:
     """Write each report as a table below ``root``, partitioned by site and period.
 
-    Files are sorted the way the report lists its rows.
+    Reports of single days go by month too, as a day of one would be a file of
+    a few rows. Files are sorted the way the report lists its rows.
     """
-    for name, report in reports.items():
-        key = next(c for c in ("dt", "month", "year") if c in report.columns)
+    for name, report in tables.items():
+        if "dt" in report.columns:
+            report = report.withColumn("month", period_label(F.col("dt"), "month"))
+        key = "month" if "month" in report.columns else "year"
         order = [
             F.desc(c) if c == "hits" else F.asc(c)
-            for c in ("rank", "hour", "pos", "hits", "path", "bot_name", "referer")
+            for c in ("dt", "rank", "hour", "pos", "hits", "path", "bot_name", "referer")
             if c in report.columns
         ]
         write_partitioned(report, f"{root}/{name}", ["domain", key], order)

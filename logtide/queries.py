@@ -259,6 +259,9 @@ _QUERIES: dict[str, Callable[[_Inputs], DataFrame]] = {
     "top_bots": lambda i: rankings.top_by_hits(
         i.bots("month"), "month", "bot_name", TOP_BOTS
     ).select("domain", "month", "rank", "bot_name", "hits"),
+    "day_top_bots": lambda i: rankings.top_by_hits(
+        i.bots("day"), "day", "bot_name", TOP_BOTS
+    ).select("domain", "dt", "rank", "bot_name", "hits"),
     "year_top_bots": lambda i: rankings.top_by_hits(
         i.bots("year"), "year", "bot_name", TOP_BOTS_YEAR
     ).select("domain", "year", "rank", "bot_name", "hits"),

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,13 +83,13 @@ def settled(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
-def drop_days(spark: SparkSession, table: str, days: Iterable[tuple[str, date]]) -> None:
-    """Delete the partition folders of the given days of a table."""
+def drop_partitions(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete partition folders; one that is not there is no error."""
 
-    def drop(key: tuple[str, date]) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/domain={key[0]}/dt={key[1]}")
+    def drop(folder: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     # Object stores answer slowly, so some calls run at a time.
     with ThreadPoolExecutor(max_workers=16) as pool:
-        list(pool.map(drop, days))
+        list(pool.map(drop, folders))

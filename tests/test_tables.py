@@ -15,7 +15,7 @@ from logtide.plans.tables import broadcast_if_small
 from logtide.schema import DAY_KEYS, NARROW_COLUMNS
 from logtide.sources import logs as log_source
 from logtide.sources.lookups import Site, select_sites, sites_table
-from logtide.sources.storage import fresh_folder, partition_days, partition_files
+from logtide.sources.storage import drop_partitions, fresh_folder, partition_days, partition_files
 from tests.logs import BOTS, GOOGLE, log, row, rows_of
 
 D1, D2, D3, D4 = (date(2026, 3, d) for d in (1, 2, 3, 4))
@@ -247,7 +247,7 @@ def test_lost_visitor_rows_are_rebuilt(spark, tmp_path):
     wanted = calendars.site_days(sites_table(spark, [Site("example.com")]), D1, D2)
     full = log(spark, [row(), row("2026-03-02", ip="2")])
     sync(spark, root, full, wanted, D3)
-    refresh.drop_days(spark, f"{root}/{refresh.VISITORS}", [("example.com", D1)])
+    drop_partitions(spark, [f"{root}/{refresh.VISITORS}/domain=example.com/dt={D1}"])
     assert sync(spark, root, full, wanted, D3) == []
     assert rows_of(refresh.read_visitors(spark, root), "dt", "c_ip") == [
         ("2026-03-01", "1.1.1.1"),
