@@ -25,7 +25,7 @@ from logtide.schema import (
     NARROW_SCHEMA,
 )
 from logtide.sources.lookups import Site, local_table
-from logtide.sources.storage import glob_folders, partition_days, without_scheme
+from logtide.sources.storage import file_uri, glob_folders, partition_days, without_scheme
 
 _DAY_FOLDER = r"(?:year=)?(\d{4})/(?:month=)?(\d{2})/(?:day=)?(\d{2})"
 
@@ -101,7 +101,7 @@ def _add_day_keys(spark: SparkSession, files: DataFrame, folders: list[DayFolder
     keys = local_table(
         spark,
         {
-            "folder": ([f.path for f in folders], pa.string()),
+            "folder": ([file_uri(spark, f.path) for f in folders], pa.string()),
             "domain": ([f.domain for f in folders], pa.string()),
             "dt": ([f.dt for f in folders], pa.date32()),
         },
@@ -142,7 +142,7 @@ def raw_files(spark: SparkSession, folders: list[DayFolder]) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load([f.path for f in folders])
-        .select("path", "length", F.col("path").alias("file_path"))
+        .select("path", "length", F.col("_metadata.file_path").alias("file_path"))
     )
     return _add_day_keys(spark, listing, folders)
 

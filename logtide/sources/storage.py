@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.schema import MIN_PARQUET_BYTES
@@ -26,7 +26,12 @@ def path_exists(spark: SparkSession, location: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def without_scheme(location):
+def file_uri(spark: SparkSession, location: str) -> str:
+    """A location in the form Spark's file metadata shows it."""
+    return spark._jvm.org.apache.hadoop.fs.Path(location).toUri().toString()
+
+
+def without_scheme(location: Column) -> Column:
     """``s3a://bucket/x``, ``file:///x`` and ``/x`` in one comparable form."""
     return F.regexp_replace(location, "^([A-Za-z][A-Za-z0-9+.-]*:)?/+", "")
 

@@ -67,6 +67,33 @@ def test_raw_folders_of_a_range(spark, site):
     assert log_source.raw_day_folders(spark, [site], date(2025, 1, 1), date(2025, 2, 1)) == []
 
 
+def test_folder_names_may_hold_spaces(spark, tmp_path):
+    raw = tmp_path / "my logs é" / "raw"
+    land(spark, raw / "2026/03/01", [row()])
+    folders = log_source.raw_day_folders(spark, [Site("example.com", str(raw))], D1, D1)
+    assert rows_of(log_source.read_raw(spark, folders), "domain", "dt") == [
+        ("example.com", "2026-03-01")
+    ]
+    assert log_source.raw_files(spark, folders).count() == 1
+
+
+def test_row_groups_are_limited(spark, tmp_path):
+    rows = spark.range(0, 1_100_000, numPartitions=8).select(
+        F.lit("big.com").alias("domain"),
+        F.lit(D1).alias("dt"),
+        (F.col("id") % 100).cast("string").alias("sc_status"),
+    )
+    compaction.sort_and_write(rows, str(tmp_path / "compact"))
+    groups = [
+        parquet.metadata.row_group(i).num_rows
+        for file in (tmp_path / "compact").rglob("*.parquet")
+        for parquet in [pq.ParquetFile(file)]
+        for i in range(parquet.num_row_groups)
+    ]
+    assert sum(groups) == 1_100_000
+    assert max(groups) <= 1_048_576
+
+
 def test_plan_reports_files_bytes_and_rows(spark, site, tmp_path):
     table = str(tmp_path / "compact")
     plan = compaction.compaction_plan(spark, [site], table, D1, D4, as_of=D4)
@@ -260,7 +287,7 @@ def test_published_reports_read_back(spark, tmp_path):
     wanted = calendars.site_days(sites_table(spark, [Site("example.com")]), D1, D3)
     rows = [row(path=p) for p in ["/b", "/a", "/b", "/c.css"]]
     found = classify(log(spark, rows), BOTS)
-    table = reports.day_metrics(found, wanted)
+    table = reports.day_metrics(found, wanted).cache()
     made = {
         **reports.period_tables(table, rollups.visitor_days(found), "month"),
         **reports.period_tables(table, rollups.visitor_days(found), "year"),
