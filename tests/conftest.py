@@ -11,7 +11,7 @@ def spark(tmp_path_factory) -> SparkSession:
     builder = (
         SparkSession.builder.master("local[8]")
         .appName("logtide-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

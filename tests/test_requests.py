@@ -152,22 +152,22 @@ def test_empty_log_gives_a_zero_day(spark):
 
 
 def test_external_referers(spark):
-    search = "https://www.google.com/search?q=test"
-    item = "https://news.ycombinator.com/item?id=123"
+    search = "https://search.example.com/find?q=test"
+    item = "https://news.example.org/item?id=123"
     found = requests(
         spark,
         [
             row(referer=search),
             row(referer=search, path="/about"),
             row(referer=item),
-            row(referer="https://dev.l1x.be/articles/rust"),
-            row(referer="https://DEV.l1x.be/"),
+            row(referer="https://dev.example.net/articles/rust"),
+            row(referer="https://DEV.example.net/"),
             row(referer="-"),
             row(referer=""),
             row(referer=None),
             row(referer=search, method="POST"),
         ],
-        domain="dev.l1x.be",
+        domain="dev.example.net",
     )
     found = rollups.referers(rollups.referred_hits(found))
     top = rankings.top_by_hits(found, "day", "referer", 15)
