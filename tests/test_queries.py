@@ -5,11 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_point
+from logtide import oracle
+from logtide import queries as catalogue
 from tests.compare import connect, mismatch
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
+QUERIES = catalogue.queries()
+ORACLES = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +25,11 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_point_registers_them():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLES) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 62
 
