@@ -2,6 +2,52 @@
 
 from __future__ import annotations
 
+#: Water-filling in closed form: sources in the order in which they reach their
+#: caps, and the level that holds if the first of them are clamped.
+SOURCE_MIX = r"""
+WITH sized AS (
+    SELECT doc_id, source,
+           CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           md5(concat(coalesce(CAST(doc_id AS VARCHAR), concat('-', md5(coalesce(text, '')))), '/7'))
+               AS place
+    FROM documents),
+sources AS (
+    SELECT source, CAST(sum(size) AS HUGEINT) AS source_size,
+           (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+    FROM sized GROUP BY source),
+ordered AS (
+    SELECT *, sum(source_size) OVER () AS total,
+           sum(3 * source_size) OVER by_cap - 3 * source_size AS clamped,
+           sum(weight) OVER () - sum(weight) OVER by_cap + weight AS open_weight,
+           row_number() OVER by_cap AS place_by_cap
+    FROM sources
+    WINDOW by_cap AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST
+                      ROWS UNBOUNDED PRECEDING)),
+level AS (
+    SELECT CAST(total - clamped AS HUGEINT) AS num, CAST(open_weight AS HUGEINT) AS den
+    FROM ordered WHERE 3 * source_size * open_weight >= (total - clamped) * weight
+    ORDER BY place_by_cap LIMIT 1),
+targets AS (
+    SELECT source, source_size, weight,
+           CASE WHEN 3 * source_size * den <= num * weight THEN CAST(3 * source_size AS DOUBLE)
+                ELSE CAST(num * weight AS DOUBLE) / CAST(den AS DOUBLE) END AS target,
+           CASE WHEN 3 * source_size * den <= num * weight THEN 3
+                WHEN source_size = 0 THEN 0
+                ELSE (num * weight) // (den * source_size) END AS whole, num, den
+    FROM sources CROSS JOIN level),
+ranked AS (
+    SELECT s.doc_id, s.size, t.source_size, t.target, t.whole,
+           2 * t.den * (sum(s.size) OVER so_far) - t.den * s.size AS middle,
+           CASE WHEN t.whole >= 3 THEN 0
+                ELSE 2 * (t.num * t.weight - t.whole * t.source_size * t.den) END AS rest
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+    WINDOW so_far AS (PARTITION BY s.source ORDER BY s.place ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(size * (whole + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) AS BIGINT)
+           AS taken
+FROM ranked
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_source_mix": SOURCE_MIX}

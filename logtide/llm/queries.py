@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, license_scan, token_counts
+from logtide.llm import bpe, license_scan, mixing, token_counts
 
 #: Tokens a document may have before it is marked as over the limit.
 TOKEN_LIMIT = 4096
+#: Seed of the order in which fractions of sources are sampled.
+MIX_SEED = 7
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix by weight takes of every document."""
+    found = mixing.mix_counts(_documents(spark, sf_dir), MIX_SEED)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -37,6 +45,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
+    "op4_source_mix": op4_source_mix,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
