@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, license_scan, mixing, token_counts
+from logtide.llm import bpe, license_scan, mixing, simhash, token_counts
 
 #: Tokens a document may have before it is marked as over the limit.
 TOKEN_LIMIT = 4096
@@ -36,6 +36,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -46,6 +51,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
     "op4_source_mix": op4_source_mix,
+    "op5_simhash": op5_simhash,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
