@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, license_scan, mixing, simhash, token_counts
+from logtide.llm import bpe, license_scan, mixing, sharding, simhash, token_counts
 
 #: Tokens a document may have before it is marked as over the limit.
 TOKEN_LIMIT = 4096
+#: Shards the documents are put into.
+SHARDS = 40
 #: Seed of the order in which fractions of sources are sampled.
 MIX_SEED = 7
 
@@ -47,12 +49,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard_documents(_documents(spark, sf_dir), SHARDS)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
     "op4_source_mix": op4_source_mix,
     "op5_simhash": op5_simhash,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_sharding": op8_sharding,
 }
 
 
