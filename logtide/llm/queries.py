@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, license_scan, mixing, sharding, simhash, token_counts
+from logtide.llm import bpe, license_scan, mixing, sharding, simhash, spotsigs, token_counts
 
 #: Tokens a document may have before it is marked as over the limit.
 TOKEN_LIMIT = 4096
@@ -32,6 +32,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir))
 
 
+def op3_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return spotsigs.fingerprint_edits(_documents(spark, sf_dir))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix by weight takes of every document."""
     found = mixing.mix_counts(_documents(spark, sf_dir), MIX_SEED)
@@ -57,6 +62,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
+    "op3_spot_fingerprints": op3_spot_fingerprints,
     "op4_source_mix": op4_source_mix,
     "op5_simhash": op5_simhash,
     "op7_byte_bpe": op7_byte_bpe,
