@@ -86,6 +86,3 @@ def range_number(key: Column, starts: list[int]) -> Column:
         ).otherwise(at),
     )
 
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

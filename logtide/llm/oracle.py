@@ -48,6 +48,24 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 FROM ranked
 """
 
+TOP_K = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_inner_product(q.vec, c.vec) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0),
+ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+                          AS INTEGER) AS rank, vec_id, score
+    FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": SOURCE_MIX}
+    return {"op4_source_mix": SOURCE_MIX, "op6_top_k": TOP_K}

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logtide.llm import bpe, license_scan, mixing, sharding, simhash, spotsigs, token_counts
+from logtide.llm import bpe, license_scan, mixing, sharding, simhash, spotsigs, token_counts, topk
 
 #: Tokens a document may have before it is marked as over the limit.
 TOKEN_LIMIT = 4096
+#: Answers of a vector search, and what components are multiplied by.
+TOP_K = 20
+VECTOR_SCALE = 64
 #: Shards the documents are put into.
 SHARDS = 40
 #: Seed of the order in which fractions of sources are sampled.
@@ -48,6 +52,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every 20th vector with all others."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 20 == 0), TOP_K, VECTOR_SCALE)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -65,6 +75,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_spot_fingerprints": op3_spot_fingerprints,
     "op4_source_mix": op4_source_mix,
     "op5_simhash": op5_simhash,
+    "op6_top_k": op6_top_k,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_sharding": op8_sharding,
 }
