@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 import logtide
 
@@ -86,3 +87,25 @@ def range_number(key: Column, starts: list[int]) -> Column:
         ).otherwise(at),
     )
 
+
+def running_totals(rows: DataFrame, ranges: Column, order: list, sums: dict[str, str]) -> DataFrame:
+    """``rows`` with running totals of columns over the whole order; ``sums`` names them.
+
+    Sums of ranges come first, one row per range, and the total of the ranges
+    before is added to the running total inside a range. ``ranges`` must be
+    ascending in the order.
+    """
+    rows = rows.withColumn("_range", ranges)
+    per_range = rows.groupBy("_range").agg(*[F.sum(c).alias(c) for c in sums])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
+        "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in sums]
+    )
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # One row per range, MOST_RANGES at most.
+    return (
+        rows.withColumns({to: F.sum(c).over(inside) for c, to in sums.items()})
+        .join(F.broadcast(offsets), "_range")
+        .withColumns({to: F.col(to) + F.col(f"_{c}") for c, to in sums.items()})
+        .drop("_range", *[f"_{c}" for c in sums])
+    )

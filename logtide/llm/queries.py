@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, license_scan, mixing, sharding, simhash, spotsigs, token_counts, topk
+from logtide.llm import bpe, license_scan, mixing, sharding, simhash, spotsigs, token_counts, token_files, topk
+from logtide.sources.storage import fresh_folder
 
 #: Tokens a document may have before it is marked as over the limit.
 TOKEN_LIMIT = 4096
@@ -17,6 +18,8 @@ TOP_K = 20
 VECTOR_SCALE = 64
 #: Shards the documents are put into.
 SHARDS = 40
+#: The id that ends a document in the token files.
+END_ID = 1
 #: Seed of the order in which fractions of sources are sampled.
 MIX_SEED = 7
 
@@ -69,6 +72,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), SHARDS)
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from token files."""
+    out = fresh_folder(spark, "token-files")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write(_documents(spark, sf_dir), out, vocabulary, END_ID)
+    return token_files.read_digests(spark, out)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -78,6 +89,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_top_k": op6_top_k,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_sharding": op8_sharding,
+    "op10_token_files": op10_token_files,
 }
 
 

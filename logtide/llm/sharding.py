@@ -22,7 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logtide.llm.common import RANGE_ROWS, range_number, range_starts, sort_key, whole_text
+from logtide.llm.common import (
+    RANGE_ROWS,
+    range_number,
+    range_starts,
+    running_totals,
+    sort_key,
+    whole_text,
+)
 from logtide.sources.storage import settled
 
 #: Bytes a document takes besides its text.
@@ -198,29 +205,6 @@ def even_cuts(totals: RunningTotals, shards: int, capacity: int) -> list[int]:
     return cuts
 
 
-def _running(rows: DataFrame, ranges: Column, order: list, sums: dict[str, str]) -> DataFrame:
-    """Running totals over the whole order, range by range.
-
-    Sums of ranges come first, one row per range, and the total of the ranges
-    before is added to the running total inside a range. ``ranges`` must be
-    ascending in the order.
-    """
-    rows = rows.withColumn("_range", ranges)
-    per_range = rows.groupBy("_range").agg(*[F.sum(c).alias(c) for c in sums])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(
-        "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in sums]
-    )
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # One row per range, MOST_RANGES at most.
-    return (
-        rows.withColumns({to: F.sum(c).over(inside) for c, to in sums.items()})
-        .join(F.broadcast(offsets), "_range")
-        .withColumns({to: F.col(to) + F.col(f"_{c}") for c, to in sums.items()})
-        .drop("_range", *[f"_{c}" for c in sums])
-    )
-
-
 def shard_documents(
     docs: DataFrame,
     shards: int,
@@ -262,7 +246,7 @@ def shard_documents(
         F.min("place").alias("first"), F.sum("size").alias("group_size")
     )
     groups = settled(spark, groups, "shard-sums")
-    groups = _running(
+    groups = running_totals(
         groups, range_number(F.col("first"), starts), ["first", "digest"], {"group_size": "total"}
     )
     groups = settled(spark, groups.sortWithinPartitions("total"), "shard-groups")
