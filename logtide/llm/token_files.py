@@ -80,6 +80,10 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content.lower().encode() for token in added]
+        if any(len(content.split()) != 1 for content in self.added):
+            raise ValueError(f"{path}: an added token holds white space")
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
@@ -90,8 +94,10 @@ class WordIds(dict):
 
     def of_text(self, text: str) -> bytes:
         raw = text.encode()
-        # The tokenizer does this too; beyond ASCII, its order of steps matters.
-        words = (raw.lower() if raw.isascii() else raw).split()
+        # The tokenizer puts words in lower case too, so fewer differ. Beyond ASCII
+        # the order of its steps matters, and added tokens are found before.
+        low = raw.lower() if raw.isascii() else raw
+        words = (raw if any(content in low for content in self.added) else low).split()
         if len(self) > KEPT_WORDS:
             self.clear()
         return b"".join(map(self.__getitem__, words))
