@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, license_scan, mixing, sharding, simhash, spotsigs, token_counts, token_files, topk
+from logtide.llm import bpe, license_scan, mixing, quality, sharding, simhash, spotsigs, token_counts, token_files, topk
 from logtide.sources.storage import fresh_folder
 
 #: Tokens a document may have before it is marked as over the limit.
@@ -18,6 +18,8 @@ TOP_K = 20
 VECTOR_SCALE = 64
 #: Shards the documents are put into.
 SHARDS = 40
+#: Seed of the sample and the start of the quality network.
+QUALITY_SEED = 7
 #: The id that ends a document in the token files.
 END_ID = 1
 #: Seed of the order in which fractions of sources are sampled.
@@ -72,6 +74,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), SHARDS)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by a network fitted on part of the labels."""
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(docs, quality.train(docs, labels, QUALITY_SEED))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read back from token files."""
     out = fresh_folder(spark, "token-files")
@@ -89,6 +98,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_top_k": op6_top_k,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_sharding": op8_sharding,
+    "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
 }
 
