@@ -109,7 +109,8 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
     links as it has members and not one for each pair.
     """
     one, other = (a, a) if b is None else (a, b)
-    apart = np.bitwise_count(one[:, None] ^ other[None, :])
+    # Of signed integers, numpy would count the bits of the absolute value.
+    apart = np.bitwise_count((one[:, None] ^ other[None, :]).view(np.uint64))
     left, right = np.nonzero(apart <= radius)
     keep = one[left] != other[right]
     left, right = left[keep], right[keep]
