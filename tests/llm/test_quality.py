@@ -1,0 +1,107 @@
+"""The classifier by held-out accuracy, and its scores on awkward texts."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from logtide.llm import quality
+from tests.llm import edges
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return tuple(spark.read.parquet(f"{SF_DIR}/{name}.parquet") for name in ("documents", "labels"))
+
+
+@pytest.fixture(scope="module")
+def network(tables):
+    return quality.train(*tables, seed=7)
+
+
+def test_held_out_accuracy(tables, network):
+    docs, labels = tables
+    found = quality.classify(docs, network).join(labels, "doc_id").where("held_out").collect()
+    good = [r.score for r in found if r.quality == 1]
+    bad = [r.score for r in found if r.quality == 0]
+    assert all((r.predicted == 1) == (r.score >= 0.7) for r in found)
+    assert np.mean([r.predicted == r.quality for r in found]) > 0.93
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+    assert np.mean([g >= 0.7 for g in good]) > 0.97
+
+
+def test_only_rows_that_are_not_held_out_are_learned_from(spark, tables, network):
+    docs, labels = tables
+    flipped = labels.collect()
+    rows = [(r.doc_id, 1 - r.quality if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 else r.quality) for r in flipped]
+    again = quality.train(docs, spark.createDataFrame(rows, "doc_id long, quality int"), seed=7)
+    assert all(np.array_equal(a, b) for a, b in zip(network.parts(), again.parts(), strict=True))
+
+
+def test_chunks_cover_the_whole_text():
+    for n in (0, 1, 255, 256, 257, 448, 449, 5000):
+        data = bytes(i % 255 + 1 for i in range(n))
+        chunks = quality.chunk_bytes(data)
+        seen = bytearray((len(chunks) - 1) * quality.STRIDE + quality.CHUNK)
+        for i, chunk in enumerate(chunks):
+            seen[i * quality.STRIDE : i * quality.STRIDE + quality.CHUNK] = chunk.tobytes()
+        assert bytes(seen).rstrip(b"\0") == data
+        assert len(chunks) == 1 or (len(chunks) - 2) * quality.STRIDE + quality.CHUNK < n
+
+
+def test_slopes_match_differences(monkeypatch):
+    network = quality.Network.fresh(1)
+    network.taps = network.taps.astype(float)
+    draw = np.random.default_rng(2)
+    chunks = draw.integers(0, 256, (7, quality.CHUNK)).astype(np.uint8)
+    owners, labels = np.array([0, 0, 0, 1, 2, 2, 2]), np.array([1, 0, 1], np.float32)
+
+    def loss():
+        p = network.scores(chunks, owners, 3)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    slopes = quality._slopes(network, chunks, owners, labels)
+    for part, slope in zip(network.parts(), slopes, strict=True):
+        at = np.unravel_index(np.abs(slope).argmax(), part.shape)
+        before, step = part[at], 1e-2
+        part[at] = before + step
+        up = loss()
+        part[at] = before - step
+        down = loss()
+        part[at] = before
+        assert (up - down) / (2 * step) == pytest.approx(slope[at], rel=0.08, abs=1e-4)
+
+
+def test_scores_do_not_depend_on_the_batch(network):
+    texts = [t or "" for t in edges.TEXTS]
+    together = quality.score_texts(network, pa.array(texts))
+    alone = [quality.score_texts(network, pa.array([t]))[0] for t in texts]
+    assert together == pytest.approx(alone, abs=1e-6)
+
+
+def test_awkward_rows(spark, network):
+    found = quality.classify(edges.documents(spark), network).collect()
+    assert len(found) == len(edges.rows())
+    assert all(0 <= r.score <= 1 for r in found)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
+    kept = quality.keep_good(edges.documents(spark), network)
+    assert kept.columns == edges.documents(spark).columns
+    assert kept.count() == sum(r.predicted for r in found)
+    assert quality.classify(edges.no_documents(spark), network).collect() == []
+
+
+@pytest.mark.parametrize(
+    "labels, least, most",
+    [([], 0.99, 1.0), ([(5, 1), (6, 1)], 0.99, 1.0), ([(5, 0), (6, 0)], 0.0, 0.5), ([(None, 0), (5, None), (5, 7)], 0.99, 1.0)],
+)
+def test_labels_of_one_kind(spark, labels, least, most):
+    frame = spark.createDataFrame(labels, "doc_id long, quality int")
+    network = quality.train(edges.documents(spark), frame, seed=1)
+    found = quality.classify(edges.documents(spark), network).collect()
+    assert len({r.score for r in found}) == 1
+    assert least <= found[0].score <= most
