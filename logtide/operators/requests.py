@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,16 @@ def classify(log: DataFrame, bots: BotMap | DataFrame) -> DataFrame:
     the partition's day are dropped.
     """
     agent = F.coalesce("cs_User_Agent", F.lit(""))
+    log = log.where(F.col("date") == F.col("dt").cast("string"))
     if isinstance(bots, DataFrame):
-        log = log.withColumn("bot_entries", bot_entries(bots))
-        name = rq.bot_name_from(agent, F.col("bot_entries"))
+        # Patterns are tested once per user agent. The agents may be many, so
+        # which side is broadcast, if any, is the planner's choice by size.
+        names = bot_dimension(log, bots).where(F.col("bot_name").isNotNull())
+        log = log.join(names.withColumnRenamed("ua", "cs_User_Agent"), "cs_User_Agent", "left")
+        name = F.col("bot_name")
     else:
         name = rq.bot_name(agent, bots)
-    return log.where(F.col("date") == F.col("dt").cast("string")).select(
+    return log.select(
         "domain",
         "dt",
         F.col("time"),
@@ -67,10 +73,25 @@ def bot_dimension(log: DataFrame, bots: DataFrame) -> DataFrame:
     return agents.withColumn("bot_entries", bot_entries(bots)).select("ua", name.alias("bot_name"))
 
 
-def data_quality(log: DataFrame) -> DataFrame:
-    """Rows the reports handle by a default, per site."""
-    return log.groupBy("domain").agg(
-        F.count_if(rq.request_hour(F.col("time")) > 23).alias("bad_hour_rows"),
-        F.count_if(F.col("c_ip").isNull()).alias("null_ip_rows"),
-        F.count_if(F.col("cs_User_Agent").isNull()).alias("null_ua_rows"),
-    )
+#: What the reports handle by a default, or leave out.
+QUALITY_COLUMNS = ["stray_date_rows", "bad_hour_rows", "null_ip_rows", "null_ua_rows"]
+
+
+def _quality_counts() -> list[Column]:
+    own = F.col("date").eqNullSafe(F.col("dt").cast("string"))
+    found = [
+        ~own,
+        own & (rq.request_hour(F.col("time")) > 23),
+        own & F.col("c_ip").isNull(),
+        own & F.col("cs_User_Agent").isNull(),
+    ]
+    return [F.count_if(f).alias(name) for f, name in zip(found, QUALITY_COLUMNS, strict=True)]
+
+
+def data_quality(log: DataFrame, keys: Sequence[str] = ("domain",)) -> DataFrame:
+    """Rows the reports handle by a default or leave out, per site (and day).
+
+    Rows of another date than their day's are counted as such alone, as no
+    report counts them.
+    """
+    return log.groupBy(*keys).agg(*_quality_counts())

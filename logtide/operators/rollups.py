@@ -48,9 +48,12 @@ def visitors(requests: DataFrame, grain: str = "day") -> DataFrame:
 
 def visitor_days(requests: DataFrame) -> DataFrame:
     """The visitor table: an address is a bot if any of its hits that day was one."""
-    return visitors(requests).select(
-        "domain", "dt", "c_ip", (F.col("bot_hits") > 0).alias("is_bot")
-    )
+    return visitor_days_of(visitors(requests))
+
+
+def visitor_days_of(visitor_rows: DataFrame) -> DataFrame:
+    """The visitor table from daily visitors with their hits and bot hits."""
+    return visitor_rows.select("domain", "dt", "c_ip", (F.col("bot_hits") > 0).alias("is_bot"))
 
 
 def traffic(requests: DataFrame, grain: str = "day") -> DataFrame:
@@ -59,16 +62,16 @@ def traffic(requests: DataFrame, grain: str = "day") -> DataFrame:
     A month or a year goes from the log to one row per address in one step; it
     does not pass through the days.
     """
-    key = GRAIN_COLUMNS[grain]
-    return (
-        visitors(requests, grain)
-        .groupBy("domain", key)
-        .agg(
-            F.sum("hits").alias("hits"),
-            F.count("*").alias("visitors"),
-            F.sum("bot_hits").alias("bot_hits"),
-            F.count_if(F.col("bot_hits") > 0).alias("bot_visitors"),
-        )
+    return traffic_of(visitors(requests, grain), grain)
+
+
+def traffic_of(visitor_rows: DataFrame, grain: str = "day") -> DataFrame:
+    """The same from one row per (site, period, address)."""
+    return visitor_rows.groupBy("domain", GRAIN_COLUMNS[grain]).agg(
+        F.sum("hits").alias("hits"),
+        F.count("*").alias("visitors"),
+        F.sum("bot_hits").alias("bot_hits"),
+        F.count_if(F.col("bot_hits") > 0).alias("bot_visitors"),
     )
 
 
@@ -139,6 +142,13 @@ def page_visits(requests: DataFrame) -> DataFrame:
     )
 
 
+def visitors_of_pages(visits: DataFrame) -> DataFrame:
+    """One row per (site, day, address) from the page visits of the day."""
+    return visits.groupBy("domain", "dt", "c_ip").agg(
+        F.sum("hits").alias("hits"), F.sum("bot_hits").alias("bot_hits")
+    )
+
+
 def pages(page_rows: DataFrame, grain: str = "day") -> DataFrame:
     """Hits, visitors and bot hits per (site, period, category, path).
 

@@ -7,11 +7,19 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logtide.operators.calendars import site_days
-from logtide.plans.tables import write_partitioned
-from logtide.schema import COMPACT_SORT_KEYS, COMPACT_WRITE_OPTIONS, DAY_KEYS
-from logtide.sources.logs import DayFolder, raw_day_folders, raw_files, read_raw, read_raw_narrow
+from logtide.plans.tables import write_ordered
+from logtide.schema import COMPACT_SORT_KEYS, COMPACT_WRITE_OPTIONS, DAY_KEYS, LOG_SCHEMA
+from logtide.sources.logs import (
+    DayFolder,
+    raw_day_folders,
+    raw_files,
+    raw_rows,
+    read_narrow,
+    read_raw,
+)
 from logtide.sources.lookups import Site, sites_table
 from logtide.sources.storage import partition_days, partition_files, settled
 
@@ -19,24 +27,61 @@ COMPACT = "compact"
 EXISTS = "exists"
 NO_RAW_FILES = "no_raw"
 
+#: Bytes of a value, about, where only the number of rows is known.
+COLUMN_BYTES = 16
 
-def sort_and_write(log: DataFrame, table: str) -> None:
+
+def sort_and_write(log: DataFrame, table: str, size: int | None = None) -> None:
     """Write days sorted by the compaction keys the log has.
 
-    A day of ordinary size becomes one file. A day beyond the advisory
-    partition size becomes several, each sorted.
+    A day's files follow each other in the order of the keys and do not
+    overlap, whatever the size of the day. ``size`` is that of the log in bytes,
+    from which the number of files follows; without it rows are counted.
     """
     order = [c for c in COMPACT_SORT_KEYS if c in log.columns]
-    write_partitioned(log, table, DAY_KEYS, order, COMPACT_WRITE_OPTIONS)
+    if size is None:
+        size = log.count() * len(log.columns) * COLUMN_BYTES
+    write_ordered(log, table, DAY_KEYS, order, size, COMPACT_WRITE_OPTIONS)
+
+
+def file_order(spark: SparkSession, table: str) -> DataFrame:
+    """Per day: rows, first and last key, files, and how many begin before the one before ended.
+
+    A key is the sort columns' text joined by a character below all others, and
+    a null is the empty text.
+    """
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in COMPACT_SORT_KEYS if c in LOG_SCHEMA.names]
+    rows = read_narrow(spark, table).select(
+        *DAY_KEYS, F.input_file_name().alias("file"), F.concat_ws("\x01", *texts).alias("key")
+    )
+    files = rows.groupBy(*DAY_KEYS, "file").agg(
+        F.count("*").alias("rows"), F.min("key").alias("first"), F.max("key").alias("last")
+    )
+    before = Window.partitionBy(*DAY_KEYS).orderBy("first", "last")
+    files = files.withColumn("overlaps", F.col("first") < F.lag("last").over(before))
+    return files.groupBy(*DAY_KEYS).agg(
+        F.sum("rows").alias("rows"),
+        F.min("first").alias("first_key"),
+        F.max("last").alias("last_key"),
+        F.count("*").alias("files"),
+        F.count_if("overlaps").alias("overlapping_files"),
+    )
 
 
 def _pending(
-    spark: SparkSession, folders: list[DayFolder], table: str, force: bool
+    spark: SparkSession,
+    sites: Sequence[Site],
+    table: str,
+    first: date,
+    last: date,
+    force: bool,
 ) -> list[DayFolder]:
+    folders = raw_day_folders(spark, sites, first, last)
     if force:
         return folders
+    held = partition_days(spark, table, [s.domain for s in sites], first, last)
     # One row per partition folder, so the set stays at (sites x days) entries.
-    done = {(r.domain, r.dt) for r in partition_days(spark, table).collect()}
+    done = {(r.domain, r.dt) for r in held.collect()}
     return [f for f in folders if (f.domain, f.dt) not in done]
 
 
@@ -47,6 +92,10 @@ def _no_counts(days: DataFrame) -> DataFrame:
     ).limit(0)
 
 
+def _nothing_planned(days: DataFrame) -> DataFrame:
+    return _no_counts(days).withColumn("action", F.lit(NO_RAW_FILES))
+
+
 def _raw_counts(spark: SparkSession, folders: list[DayFolder], days: DataFrame) -> DataFrame:
     """Files, bytes and rows per day. Rows come from the Parquet footers alone."""
     if not folders:
@@ -56,8 +105,7 @@ def _raw_counts(spark: SparkSession, folders: list[DayFolder], days: DataFrame)
         .groupBy(*DAY_KEYS)
         .agg(F.count("*").alias("files"), F.sum("length").alias("raw_bytes"))
     )
-    counted = read_raw_narrow(spark, folders).groupBy(*DAY_KEYS).agg(F.count("*").alias("rows"))
-    return listed.join(counted, DAY_KEYS, "left")
+    return listed.join(raw_rows(spark, folders), DAY_KEYS, "left")
 
 
 def _planned(
@@ -71,8 +119,11 @@ def _planned(
 ) -> tuple[DataFrame, list[DayFolder]]:
     end = min(last, as_of - timedelta(days=1))
     days = site_days(sites_table(spark, sites), first, end)
-    todo = _pending(spark, raw_day_folders(spark, sites, first, end), table, force)
-    existing = partition_days(spark, table).withColumn("compacted", F.lit(not force))
+    if end < first:
+        return _nothing_planned(days), []
+    todo = _pending(spark, sites, table, first, end, force)
+    held = partition_days(spark, table, [s.domain for s in sites], first, end)
+    existing = held.withColumn("compacted", F.lit(not force))
     action = (
         F.when(F.col("compacted"), EXISTS)
         .when(F.coalesce("rows", F.lit(0)) == 0, NO_RAW_FILES)
@@ -120,10 +171,11 @@ def compact(
     plan, todo = _planned(spark, sites, table, first, last, as_of, force)
     # The plan looks at the table that is written next, so it is fixed first.
     plan = settled(spark, plan, "compaction-plan")
-    if todo:
-        sort_and_write(read_raw(spark, todo), table)
+    size = plan.where(F.col("action") == COMPACT).agg(F.sum("raw_bytes")).first()[0]
+    if size:
+        sort_and_write(read_raw(spark, todo), table, size)
     written = (
-        partition_files(spark, table)
+        partition_files(spark, table, [s.domain for s in sites], first, last)
         .groupBy(*DAY_KEYS)
         .agg(F.sum("length").alias("table_bytes"))
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 from datetime import UTC, date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +15,38 @@ from logtide.functions.calendars import month_range, year_range
 from logtide.functions.requests import BotMap
 from logtide.operators.calendars import site_days
 from logtide.plans import compaction, refresh, reports
-from logtide.sources.logs import read_log
+from logtide.plans.state import state_version
+from logtide.sources.logs import LogSource, compact_path
 from logtide.sources.lookups import Site, select_sites, sites_table
-from logtide.sources.sitemaps import read_sitemaps
-from logtide.sources.storage import drop_partitions
-
-
-def _range(month: str | None, year: str | None) -> tuple[date, date]:
+from logtide.sources.sitemaps import read_sitemaps, unreadable_sitemaps
+from logtide.sources.storage import (
+    drop_partitions,
+    file_stamp,
+    glob_files,
+    glob_folders,
+    mark,
+    partition_name,
+    path_exists,
+    removed_scratch,
+)
+
+#: Markers of published reports, below the cache's root.
+PUBLISHED = "published"
+
+
+def _ranges(month: str | None, year: str | None) -> list[tuple[date, date, str | None]]:
+    """The periods asked for, with the year if one is a whole year."""
     if month is None and year is None:
         raise ValueError("a month or a year is required")
-    return year_range(year) if year is not None else month_range(month)
+    found = []
+    if month is not None:
+        found.append((*month_range(month), None))
+    if year is not None:
+        first, last = year_range(year)
+        # A month of that year is among its months.
+        found = [r for r in found if not first <= r[0] <= last]
+        found.append((first, last, str(first.year)))
+    return found
 
 
 def _today(as_of: date | None) -> date:
@@ -33,20 +58,102 @@ def _republish(
     tables: dict[str, DataFrame],
     out: str,
     sites: Sequence[Site],
-    key: str,
     labels: Sequence[str],
 ) -> None:
-    """Publish reports in place of the earlier ones of the same sites and periods."""
-    drop_partitions(
-        spark,
-        [
-            f"{out}/{name}/domain={site.domain}/{key}={label}"
-            for name in tables
-            for site in sites
-            for label in labels
-        ],
-    )
+    """Publish reports in place of the earlier ones of the same sites and periods.
+
+    Partitions are replaced one by one as they are written. Those of an earlier
+    run that have no rows any more are deleted afterwards, so that a run that
+    fails leaves readers what they had.
+    """
+    wanted = "{" + ",".join(partition_name(spark, site.domain) for site in sites) + "}"
+    periods = "{" + ",".join(labels) + "}"
+
+    def files() -> list[str]:
+        patterns = [
+            f"{out}/{name}/domain={wanted}/{reports.period_key(table)}={periods}/*"
+            for name, table in tables.items()
+        ]
+        return [file for pattern in patterns for file in glob_files(spark, pattern)]
+
+    before = set(files())
     reports.publish(tables, out)
+    # A partition that was replaced has other files than before.
+    leftover = {file.rsplit("/", 1)[0] for file in files() if file in before}
+    drop_partitions(spark, leftover)
+
+
+def _marker(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    sites: Sequence[Site],
+    bots: BotMap | DataFrame,
+    first: date,
+    last: date,
+    year: str | None,
+) -> str:
+    """The file that tells that a report of the present state is published.
+
+    Its name covers all a report depends on. The state's version stands for the
+    log: every refresh that touches a day writes new ones.
+    """
+    patterns = [tuple(r) for r in bots.collect()] if isinstance(bots, DataFrame) else list(bots)
+    sitemaps = [file_stamp(spark, s.sitemap) if s.sitemap else None for s in sites]
+    names = [[s.domain, s.sitemap] for s in sites]
+    request = [out, names, sitemaps, patterns, str(first), str(last), year]
+    name = hashlib.sha256(json.dumps(request, default=str).encode()).hexdigest()
+    return f"{root}/{PUBLISHED}/{state_version(spark, root)}/{name}"
+
+
+def _mark_published(spark: SparkSession, root: str, marker: str) -> None:
+    """Set a marker; those of earlier states say nothing any more."""
+    mark(spark, marker)
+    present = marker.split("/")[-2]
+    folders = glob_folders(spark, f"{root}/{PUBLISHED}/*")
+    drop_partitions(spark, [f for f in folders if f.split("/")[-1] != present])
+
+
+def _publish_range(
+    spark: SparkSession,
+    source: LogSource,
+    sites: Sequence[Site],
+    root: str,
+    out: str,
+    year: str | None,
+) -> None:
+    first, last = source.first, source.last
+    days = site_days(sites_table(spark, sites), first, last)
+    own = F.col("domain").isin([s.domain for s in sites])
+    figures = refresh.read_day_metrics(spark, root, first, last).where(own)
+    visitors = refresh.read_visitors(spark, root, first, last).where(own)
+    dates = [date.fromordinal(d) for d in range(first.toordinal(), last.toordinal() + 1)]
+    months = sorted({f"{d:%Y-%m}" for d in dates})
+
+    base = reports.base_tables(figures, visitors, "month")
+    yearly = reports.base_tables(figures, visitors, "year") if year is not None else {}
+    labels = [*months, year] if year is not None else months
+    tables = {**reports.day_panels(figures, days), **base, **yearly}
+    if any(s.sitemap for s in sites):
+        tables |= reports.gap_tables(figures, read_sitemaps(spark, sites), days)
+    broken = unreadable_sitemaps(spark, sites)
+    tables["data_quality"] = reports.quality_table(figures, days, source.tiny_files(), broken)
+    _republish(spark, tables, out, sites, labels)
+
+    # Lists and headline figures come from the rollups just written.
+    stored = reports.read_published(spark, base | yearly, out)
+    this = {
+        name: table.where(own & F.col(name.split("_")[0]).cast("string").isin(labels))
+        for name, table in stored.items()
+    }
+    derived = reports.derived_tables(this, "month")
+    derived["month_shares"] = reports.monthly_shares(this["month_totals"])
+    if year is not None:
+        derived |= reports.derived_tables(this, "year")
+        known = spark.read.schema(yearly["year_totals"].schema).parquet(f"{out}/year_totals")
+        years = reports.available_years(known.where(own), F.lit(int(year)), sites_table(spark, sites))
+        derived["years"] = years.withColumn("is_current", F.col("year") == int(year))
+    _republish(spark, derived, out, sites, labels)
 
 
 def report(
@@ -62,45 +169,37 @@ def report(
     no_cache: bool = False,
     as_of: date | None = None,
 ) -> None:
-    """Publish the reports of a month, or of a year and all its months.
+    """Publish the reports of a month, of a year and all its months, or of both.
 
     ``table`` is the compacted log; days not compacted yet are read from the
-    sites' raw files. ``root`` keeps the extract and the day figures between
-    runs, so that only new days and the current one are read again; ``no_cache``
-    reads all days again. ``out`` receives one table per report. ``as_of``
-    stands for today.
+    sites' raw files. ``root`` keeps the extract, the day figures and the state
+    of every day between runs, so that only days are read again whose files
+    changed or that were not over; ``no_cache`` reads all days again. ``out``
+    receives one table per report. ``as_of`` stands for today. A run that finds
+    nothing changed since the same reports were published writes nothing.
     """
     chosen, today = select_sites(sites, site), _today(as_of)
-    first, last = _range(month, year)
-    last = min(last, today)
-    if first > last:
-        return
-    days = site_days(sites_table(spark, chosen), first, last)
-    log = read_log(spark, chosen, table, first, last)
-    forced = F.lit(True) if no_cache else None
-    refresh.refresh(spark, log, days, root, bots, today, forced)
-
-    own = F.col("domain").isin([s.domain for s in chosen])
-    figures = refresh.read_day_metrics(spark, root, first, last).where(own)
-    visitors = refresh.read_visitors(spark, root, first, last).where(own)
-    dates = [date.fromordinal(d) for d in range(first.toordinal(), last.toordinal() + 1)]
-    months = sorted({f"{d:%Y-%m}" for d in dates})
-    by_month = {
-        **reports.day_panels(figures, days),
-        **reports.period_tables(figures, visitors, "month"),
-    }
-    if any(s.sitemap for s in chosen):
-        by_month |= reports.gap_tables(figures, read_sitemaps(spark, chosen), days)
-    _republish(spark, by_month, out, chosen, "month", months)
-    if year is not None:
-        yearly = reports.period_tables(figures, visitors, "year")
-        _republish(spark, yearly, out, chosen, "year", [str(first.year)])
+    for first, last, whole_year in _ranges(month, year):
+        last = min(last, today)
+        if first > last:
+            continue
+        with removed_scratch(spark):
+            source = LogSource(spark, chosen, table, first, last)
+            days = site_days(sites_table(spark, chosen), first, last)
+            forced = F.lit(True) if no_cache else None
+            refresh.refresh(
+                spark, source.rows, days, root, bots, today, forced, source.listing()
+            )
+            marker = _marker(spark, root, out, chosen, bots, first, last, whole_year)
+            if not path_exists(spark, marker):
+                _publish_range(spark, source, chosen, root, out, whole_year)
+                _mark_published(spark, root, marker)
 
 
 def compact(
     spark: SparkSession,
     sites: Sequence[Site],
-    table: str,
+    table: str | None = None,
     month: str | None = None,
     year: str | None = None,
     site: str | None = None,
@@ -108,8 +207,20 @@ def compact(
     force: bool = False,
     as_of: date | None = None,
 ) -> DataFrame:
-    """Compact a month or year; the result is the summary, or the plan in a dry run."""
+    """Compact a month or year; the result is the summary, or the plan in a dry run.
+
+    Without a ``table``, each site is compacted into the ``compact`` folder next
+    to its raw log. ``compaction.run_totals`` adds a summary up by site.
+    """
     chosen, today = select_sites(sites, site), _today(as_of)
-    first, last = _range(month, year)
     run = compaction.compaction_plan if dry_run else compaction.compact
-    return run(spark, chosen, table, first, last, as_of=today, force=force)
+    if table is not None:
+        targets = [(chosen, table)]
+    else:
+        targets = [([s], compact_path(s.log_path)) for s in chosen if s.log_path]
+    found = [
+        run(spark, own, target, first, last, as_of=today, force=force)
+        for first, last, _ in _ranges(month, year)
+        for own, target in targets
+    ]
+    return reduce(DataFrame.unionByName, found)

@@ -1,12 +1,15 @@
 """Incremental refresh: recompute only the days that changed.
 
 Three stored levels build on each other: the narrow log extract, the visitor
-rows with the day figures, and the published month and year reports.
+rows with the day figures, and the published month and year reports. A state
+table tells for every day which files it was made from and when.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Callable
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,8 @@ from logtide.functions.requests import BotMap
 from logtide.operators import rollups
 from logtide.operators.requests import classify
 from logtide.plans.reports import day_metrics
-from logtide.plans.tables import broadcast_if_small, write_partitioned
+from logtide.plans.state import read_state, write_state
+from logtide.plans.tables import write_partitioned
 from logtide.schema import (
     COMPACT_SORT_KEYS,
     DAY_KEYS,
@@ -24,31 +28,61 @@ from logtide.schema import (
     VISITOR_SCHEMA,
 )
 from logtide.sources.logs import day_partitions, read_narrow
-from logtide.sources.storage import drop_partitions, partition_days, settled
+from logtide.sources.storage import (
+    broadcast_if_small,
+    drop_partitions,
+    glob_folders,
+    partition_days,
+    partition_name,
+    settled,
+)
 
 NARROW = "narrow_log"
 VISITORS = "visitors"
 METRICS = "day_metrics"
 
+#: What a listing tells of a day, in the state's columns.
+_SOURCE = ["source", "files", "bytes", "newest"]
+
+#: The log, or how to read the days of a plan.
+Log = DataFrame | Callable[[set[tuple[str, date]]], DataFrame]
+
 
 def sync_plan(
-    wanted: DataFrame, cached: DataFrame, as_of: DateLike, forced: Column | None = None
+    wanted: DataFrame,
+    state: DataFrame,
+    as_of: DateLike,
+    forced: Column | None = None,
+    listing: DataFrame | None = None,
 ) -> DataFrame:
     """``(domain, dt, reason)`` of the days to fetch.
 
-    A day is fetched when it is not cached (``new``), when it is the day still
-    being written (``today``), or when the caller asks for it (``forced``).
+    A day is fetched when it is the one still being written (``today``), when
+    the caller asks for it (``forced``), when it was never fetched (``new``),
+    when a run on it did not end (``pending``), when it was fetched before it
+    was over (``part_day``), or when the files it is made from are not those it
+    was made from (``changed``). The last needs a ``listing`` with the source,
+    files, bytes and newest change of each day.
     """
-    known = cached.select(*DAY_KEYS).withColumn("is_cached", F.lit(True))
+    known = state.select(
+        *DAY_KEYS, "synced_on", "pending", *[F.col(c).alias(f"old_{c}") for c in _SOURCE]
+    ).withColumn("known", F.lit(True))
+    days = wanted.select(*DAY_KEYS).join(known, DAY_KEYS, "left")
+    changed = F.lit(False)
+    if listing is not None:
+        days = days.join(listing.select(*DAY_KEYS, *_SOURCE), DAY_KEYS, "left")
+        for column in _SOURCE:
+            changed = changed | ~F.col(column).eqNullSafe(F.col(f"old_{column}"))
     reason = F.when(F.col("dt") == date_column(as_of), "today")
     if forced is not None:
         reason = reason.when(forced, "forced")
-    reason = reason.when(F.col("is_cached").isNull(), "new")
-    return (
-        wanted.join(known, DAY_KEYS, "left")
-        .select(*DAY_KEYS, reason.alias("reason"))
-        .where(F.col("reason").isNotNull())
+    reason = (
+        reason.when(F.col("known").isNull(), "new")
+        .when(F.col("pending"), "pending")
+        .when(F.col("synced_on") <= F.col("dt"), "part_day")
+        .when(changed, "changed")
     )
+    return days.select(*DAY_KEYS, reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def write_narrow(log: DataFrame, root: str) -> None:
@@ -58,11 +92,9 @@ def write_narrow(log: DataFrame, root: str) -> None:
     write_partitioned(narrow, f"{root}/{NARROW}", DAY_KEYS, order)
 
 
-def write_visitors(requests: DataFrame, root: str) -> None:
-    """Store the visitor rows of the days in ``requests``."""
-    rows = rollups.visitor_days(requests).select(
-        F.col("dt").cast("string").alias("date"), "c_ip", "is_bot", *DAY_KEYS
-    )
+def write_visitors(visitors: DataFrame, root: str) -> None:
+    """Store visitor rows (``rollups.visitor_days``), one folder per site and day."""
+    rows = visitors.select(F.col("dt").cast("string").alias("date"), "c_ip", "is_bot", *DAY_KEYS)
     write_partitioned(rows, f"{root}/{VISITORS}", DAY_KEYS, ["c_ip"])
 
 
@@ -70,78 +102,164 @@ def read_visitors(
     spark: SparkSession, root: str, first: DateLike | None = None, last: DateLike | None = None
 ) -> DataFrame:
     """Visitor rows of a day range; other days are not listed into the scan."""
-    table = spark.read.schema(VISITOR_SCHEMA).parquet(f"{root}/{VISITORS}")
-    return day_partitions(table, first, last).select(*DAY_KEYS, "c_ip", "is_bot")
+    table = f"{root}/{VISITORS}"
+    if not glob_folders(spark, f"{table}/domain=*"):
+        empty = spark.createDataFrame([], VISITOR_SCHEMA)
+        return empty.select(*DAY_KEYS, "c_ip", "is_bot")
+    rows = spark.read.schema(VISITOR_SCHEMA).parquet(table)
+    return day_partitions(rows, first, last).select(*DAY_KEYS, "c_ip", "is_bot")
 
 
-def _drop(spark: SparkSession, table: str, days: DataFrame) -> None:
-    """Delete those of the days a table holds; the keys are (sites x days) at most."""
-    held = days.select(*DAY_KEYS).join(partition_days(spark, table), DAY_KEYS, "left_semi")
-    drop_partitions(spark, [f"{table}/domain={r.domain}/dt={r.dt}" for r in held.collect()])
+def _drop(spark: SparkSession, table: str, days: set[tuple[str, date]]) -> None:
+    """Delete the folders of days, those that exist, under the names Spark gave them."""
+    names = {f"domain={partition_name(spark, d)}/dt={dt}" for d, dt in days}
+    patterns = {f"{table}/{name.split('/')[0]}/dt=*" for name in names}
+    folders = [folder for pattern in patterns for folder in glob_folders(spark, pattern)]
+    drop_partitions(spark, [f for f in folders if "/".join(f.split("/")[-2:]) in names])
+
+
+def _keys(days: DataFrame) -> set[tuple[str, date]]:
+    """The keys of a plan: (sites x days) at most."""
+    return {(r["domain"], r["dt"]) for r in days.select(*DAY_KEYS).collect()}
+
+
+def _held_days(spark: SparkSession, table: str, days: DataFrame) -> DataFrame:
+    """``(domain, dt)`` a table holds, of the sites and range of these days."""
+    span = days.agg(
+        F.min("dt").alias("first"), F.max("dt").alias("last"), F.collect_set("domain").alias("domains")
+    ).first()
+    return partition_days(spark, table, span["domains"] or None, span["first"], span["last"])
+
+
+def _in_state(
+    state: DataFrame, days: DataFrame, listing: DataFrame | None, as_of: DateLike
+) -> DataFrame:
+    """The state with these days pending, made from the files of the listing."""
+    fresh = days.select(*DAY_KEYS)
+    if listing is not None:
+        fresh = fresh.join(listing.select(*DAY_KEYS, *_SOURCE), DAY_KEYS, "left")
+    types = {f.name: f.dataType for f in state.schema.fields}
+    fresh = fresh.withColumns(
+        {c: F.lit(None).cast(types[c]) for c in _SOURCE if c not in fresh.columns}
+        | {
+            "synced_on": date_column(as_of),
+            "has_visitors": F.lit(False),
+            "pending": F.lit(True),
+        }
+    )
+    return state.join(days.select(*DAY_KEYS), DAY_KEYS, "left_anti").unionByName(fresh)
+
+
+def mark_pending(
+    spark: SparkSession,
+    days: DataFrame,
+    root: str,
+    as_of: DateLike,
+    listing: DataFrame | None = None,
+) -> None:
+    """Note that a run on these days has begun; until it ends they are planned again."""
+    # The state is read from the folder that is written next to.
+    state = settled(spark, _in_state(read_state(spark, root), days, listing, as_of), "state")
+    write_state(spark, root, state)
+
+
+def mark_done(spark: SparkSession, days: DataFrame, root: str) -> None:
+    """Note that the run on these days has ended."""
+    own = days.select(*DAY_KEYS, F.lit(True).alias("own"))
+    visited = _held_days(spark, f"{root}/{VISITORS}", days).withColumn("visited", F.lit(True))
+    state = (
+        read_state(spark, root)
+        .join(own, DAY_KEYS, "left")
+        .join(visited, DAY_KEYS, "left")
+        .withColumn("pending", F.col("pending") & F.col("own").isNull())
+        .withColumn(
+            "has_visitors",
+            F.when(F.col("own"), F.col("visited").isNotNull()).otherwise(F.col("has_visitors")),
+        )
+    )
+    write_state(spark, root, settled(spark, state, "state"))
+
+
+def _planned_rows(log: Log, plan: DataFrame, days: set[tuple[str, date]]) -> DataFrame:
+    rows = log(days) if callable(log) else log
+    return rows.join(broadcast_if_small(plan.select(*DAY_KEYS)), DAY_KEYS, "left_semi")
 
 
 def sync_log(
     spark: SparkSession,
-    log: DataFrame,
+    log: Log,
     wanted: DataFrame,
     root: str,
     as_of: DateLike,
     forced: Column | None = None,
+    listing: DataFrame | None = None,
 ) -> DataFrame:
-    """Fetch the planned days of ``log`` into the narrow extract; returns the plan.
+    """Fetch the planned days of the log into the narrow extract; returns the plan.
 
-    A day that is fetched again is deleted first, so one that comes back empty
-    does not keep old rows. After a failed run the day is simply not cached.
+    The days are marked pending before the extract is touched. A day that is
+    fetched again is deleted first, so one that comes back empty does not keep
+    old rows.
     """
-    table = f"{root}/{NARROW}"
-    plan = sync_plan(wanted, partition_days(spark, table), as_of, forced)
-    # The plan depends on the table this job rewrites, so it is fixed first.
-    plan = settled(spark, plan, "sync-plan")
-    _drop(spark, table, plan)
-    planned = broadcast_if_small(plan.select(*DAY_KEYS))
-    write_narrow(log.join(planned, DAY_KEYS, "left_semi"), root)
+    state = read_state(spark, root)
+    plan = settled(spark, sync_plan(wanted, state, as_of, forced, listing), "sync-plan")
+    days = _keys(plan)
+    if days:
+        mark_pending(spark, plan, root, as_of, listing)
+        _drop(spark, f"{root}/{NARROW}", days)
+        write_narrow(_planned_rows(log, plan, days), root)
     return plan
 
 
+def lost_days(spark: SparkSession, wanted: DataFrame, root: str) -> DataFrame:
+    """Days whose visitor rows are gone though the state has them."""
+    state = read_state(spark, root).where(F.col("has_visitors") & ~F.col("pending"))
+    held = _held_days(spark, f"{root}/{VISITORS}", wanted)
+    return wanted.join(state, DAY_KEYS, "left_semi").join(held, DAY_KEYS, "left_anti").select(*DAY_KEYS)
+
+
 def rebuild_tables(
     spark: SparkSession, wanted: DataFrame, plan: DataFrame, root: str, bots: BotMap | DataFrame
 ) -> DataFrame:
     """Rebuild the visitor rows and day figures of the synced days; returns those days.
 
-    Days without visitor rows are rebuilt as well. Visitor rows are deleted
-    first and written last: should a run fail in between, the next one finds
-    them missing and rebuilds both tables for the day.
+    Days whose visitor rows were lost are rebuilt as well. The days are pending
+    until all their tables are written.
     """
-    visitors = f"{root}/{VISITORS}"
-    without_visitors = wanted.join(partition_days(spark, visitors), DAY_KEYS, "left_anti")
-    stale = without_visitors.union(plan.select(*DAY_KEYS)).distinct()
+    stale = lost_days(spark, wanted, root).union(plan.select(*DAY_KEYS)).distinct()
     stale = settled(spark, stale, "stale-days")
-    changed = read_narrow(spark, f"{root}/{NARROW}").join(
-        broadcast_if_small(stale), DAY_KEYS, "left_semi"
-    )
-    # Read and classified once for the seven aggregations that follow. A lost
-    # block is computed again from the narrow table, which nothing changes here.
-    requests = classify(changed, bots).persist(StorageLevel.MEMORY_AND_DISK)
-    _drop(spark, visitors, stale)
+    days = _keys(stale)
+    if not days:
+        return stale
+    own = broadcast_if_small(stale)
+    first, last = min(dt for _, dt in days), max(dt for _, dt in days)
+    domains = sorted({domain for domain, _ in days})
+    narrow = read_narrow(spark, f"{root}/{NARROW}", first, last, domains)
+    log = narrow.join(own, DAY_KEYS, "left_semi")
+    requests = classify(log, bots)
+    # The one rollup by address; totals, pages and visitors come from it.
+    visits = settled(spark, rollups.page_visits(requests), "page-visits")
+    _drop(spark, f"{root}/{VISITORS}", days)
     # Every day has its zero rows at least, so the overwrite replaces them all.
     order = ["metric", "hour", F.desc("hits"), "name"]
-    write_partitioned(day_metrics(requests, stale), f"{root}/{METRICS}", DAY_KEYS, order)
-    write_visitors(requests, root)
-    requests.unpersist()
+    figures = day_metrics(requests, stale, visits, log)
+    write_partitioned(figures, f"{root}/{METRICS}", DAY_KEYS, order)
+    write_visitors(rollups.visitor_days_of(rollups.visitors_of_pages(visits)), root)
+    mark_done(spark, stale, root)
     return stale
 
 
 def refresh(
     spark: SparkSession,
-    log: DataFrame,
+    log: Log,
     wanted: DataFrame,
     root: str,
     bots: BotMap | DataFrame,
     as_of: DateLike,
     forced: Column | None = None,
+    listing: DataFrame | None = None,
 ) -> DataFrame:
     """Sync the log, then rebuild what depends on it. Returns the executed plan."""
-    plan = sync_log(spark, log, wanted, root, as_of, forced)
+    plan = sync_log(spark, log, wanted, root, as_of, forced, listing)
     rebuild_tables(spark, wanted, plan, root, bots)
     return plan
 

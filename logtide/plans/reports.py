@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.functions import shares
 from logtide.functions.calendars import GRAIN_COLUMNS, period_label
 from logtide.operators import calendars, gaps, rankings, rollups
+from logtide.operators.requests import QUALITY_COLUMNS, data_quality
 from logtide.plans.tables import write_partitioned
 from logtide.schema import (
     DAY_METRICS_SCHEMA,
@@ -20,6 +22,9 @@ from logtide.schema import (
     TOP_REFERERS,
 )
 
+#: Report tables written at the same time.
+PUBLISH_AT_ONCE = 6
+
 
 def traffic_report(requests: DataFrame, days: DataFrame, grain: str = "day") -> DataFrame:
     """Hits, visitors and their bot parts for every site and period of a calendar."""
@@ -131,19 +136,36 @@ DAY_METRICS = {
     "bot": "bot_name",
     "crawled": "path",
     "referer": "referer",
+    "quality": "check",
 }
 
 
-def day_metrics(requests: DataFrame, days: DataFrame) -> DataFrame:
-    """All day figures as one table, so that a day is one file and not six."""
+def day_metrics(
+    requests: DataFrame,
+    days: DataFrame,
+    visits: DataFrame | None = None,
+    log: DataFrame | None = None,
+) -> DataFrame:
+    """All day figures as one table, so that a day is one file and not seven.
+
+    ``visits`` are the page visits of the requests, if they are stored already.
+    With the ``log`` its data quality counts are kept as well.
+    """
+    visits = rollups.page_visits(requests) if visits is None else visits
+    traffic = rollups.traffic_of(rollups.visitors_of_pages(visits))
     parts = {
-        "traffic": traffic_report(requests, days),
+        "traffic": calendars.zero_filled(days, traffic),
         "hour": hourly_report(requests, days),
-        "page": rollups.pages(rollups.page_visits(requests)),
+        "page": rollups.pages(visits),
         "bot": rollups.bots(rollups.bot_requests(requests)),
         "crawled": rollups.crawled_paths(rollups.crawler_hits(requests)),
         "referer": rollups.referers(rollups.referred_hits(requests)),
     }
+    if log is not None:
+        counts = data_quality(log, ["domain", "dt"])
+        parts["quality"] = counts.unpivot(["domain", "dt"], QUALITY_COLUMNS, "check", "hits").where(
+            "hits > 0"
+        )
     rows = []
     for metric, part in parts.items():
         part = part.withColumn("metric", F.lit(metric))
@@ -170,20 +192,24 @@ def day_metric(table: DataFrame, metric: str) -> DataFrame:
     return rows
 
 
-def period_tables(table: DataFrame, visitor_table: DataFrame | None, grain: str) -> dict[str, DataFrame]:
-    """Month or year reports from the stored day table; the log is not read again."""
-    traffic = rollups.stored_traffic(day_metric(table, "traffic"), grain, visitor_table)
-    pages = rollups.pages(day_metric(table, "page"), grain)
-    bots = rollups.bots(day_metric(table, "bot"), grain)
-    referers = rollups.referers(day_metric(table, "referer"), grain)
+def base_tables(table: DataFrame, visitor_table: DataFrame | None, grain: str) -> dict[str, DataFrame]:
+    """Month or year rollups from the stored day table; the log is not read again."""
+    return {
+        f"{grain}_totals": rollups.stored_traffic(day_metric(table, "traffic"), grain, visitor_table),
+        f"{grain}_pages": rollups.pages(day_metric(table, "page"), grain),
+        f"{grain}_bots": rollups.bots(day_metric(table, "bot"), grain),
+        f"{grain}_crawled_paths": rollups.crawled_paths(day_metric(table, "crawled"), grain),
+        f"{grain}_referers": rollups.referers(day_metric(table, "referer"), grain),
+    }
+
+
+def derived_tables(base: dict[str, DataFrame], grain: str) -> dict[str, DataFrame]:
+    """Headline figures and ranked lists from the rollups of a period."""
+    traffic, pages = base[f"{grain}_totals"], base[f"{grain}_pages"]
+    bots, referers = base[f"{grain}_bots"], base[f"{grain}_referers"]
     top_bots = TOP_BOTS_YEAR if grain == "year" else TOP_BOTS
     return {
-        f"{grain}_totals": traffic,
         f"{grain}_kpis": kpis(traffic, bots, grain),
-        f"{grain}_pages": pages,
-        f"{grain}_bots": bots,
-        f"{grain}_crawled_paths": rollups.crawled_paths(day_metric(table, "crawled"), grain),
-        f"{grain}_referers": referers,
         f"{grain}_top_pages": rankings.top_content_pages(pages, grain, TOP_PAGES),
         f"{grain}_static_assets": rankings.static_assets(pages, grain),
         f"{grain}_top_bots": rankings.top_by_hits(bots, grain, "bot_name", top_bots),
@@ -191,18 +217,53 @@ def period_tables(table: DataFrame, visitor_table: DataFrame | None, grain: str)
     }
 
 
+def period_tables(table: DataFrame, visitor_table: DataFrame | None, grain: str) -> dict[str, DataFrame]:
+    """All month or year reports from the stored day table."""
+    base = base_tables(table, visitor_table, grain)
+    return base | derived_tables(base, grain)
+
+
 def day_panels(table: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
     """The reports of single days from the stored day table."""
     pages = rollups.pages(day_metric(table, "page"))
     by_hour = day_metric(table, "hour").select("domain", "dt", "hour", "hits", "visitors")
+    daily = day_metric(table, "traffic").select(
+        "domain", "dt", "hits", "visitors", "bot_hits", "bot_visitors"
+    )
     return {
+        "daily_traffic": daily,
+        "daily_shares": daily_shares(daily),
         "day_panels": day_panel(pages, days),
         "day_hours": by_hour,
+        "hourly_shares": hourly_shares(by_hour),
         "day_top_pages": rankings.top_content_pages(pages, "day", TOP_PAGES),
         "day_static_assets": rankings.static_assets(pages, "day"),
     }
 
 
+def quality_table(
+    table: DataFrame, days: DataFrame, tiny_files: DataFrame, bad_sitemaps: DataFrame
+) -> DataFrame:
+    """What a month's reports left out or handled by a default, per site and month.
+
+    Besides the counts of rows: files passed over as too small, and 1 for a
+    sitemap that is missing or can't be read. ``bad_sitemaps`` has a ``domain``
+    column.
+    """
+    month = period_label(F.col("dt"), "month").alias("month")
+    rows = day_metric(table, "quality").groupBy("domain", month).pivot("check", QUALITY_COLUMNS)
+    files = tiny_files.groupBy("domain", month).agg(F.sum("files").alias("tiny_files"))
+    broken = bad_sitemaps.select("domain", F.lit(1).cast("bigint").alias("unreadable_sitemaps"))
+    return (
+        calendars.site_periods(days, "month")
+        .join(rows.agg(F.sum("hits")), ["domain", "month"], "left")
+        .join(files, ["domain", "month"], "left")
+        .join(broken.distinct(), "domain", "left")
+        .fillna(0)
+        .select("domain", "month", *QUALITY_COLUMNS, "tiny_files", "unreadable_sitemaps")
+    )
+
+
 def gap_tables(table: DataFrame, sitemap: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
     """The gap reports from the stored crawler paths."""
     crawled = rollups.crawled_paths(day_metric(table, "crawled"), "month")
@@ -213,28 +274,49 @@ def gap_tables(table: DataFrame, sitemap: DataFrame, days: DataFrame) -> dict[st
     }
 
 
+def period_key(report: DataFrame) -> str:
+    """The column a published report is partitioned by, beside the site."""
+    return "month" if {"month", "dt"} & set(report.columns) else "year"
+
+
+def _publish_one(report: DataFrame, path: str) -> None:
+    key = period_key(report)
+    if "dt" in report.columns:
+        report = report.withColumn("month", period_label(F.col("dt"), "month"))
+    order = [
+        F.desc(c) if c == "hits" else F.asc(c)
+        for c in ("dt", "rank", "hour", "pos", "hits", "path", "bot_name", "referer")
+        if c in report.columns
+    ]
+    write_partitioned(report, path, ["domain", key], order)
+
+
 def publish(tables: dict[str, DataFrame], root: str) -> None:
     """Write each report as a table below ``root``, partitioned by site and period.
 
     Reports of single days go by month too, as a day of one would be a file of
-    a few rows. Files are sorted the way the report lists its rows.
+    a few rows. Files are sorted the way the report lists its rows. Tables are
+    small and independent, so several are written at a time.
+    """
+    with ThreadPoolExecutor(max_workers=PUBLISH_AT_ONCE) as pool:
+        list(pool.map(lambda name: _publish_one(tables[name], f"{root}/{name}"), tables))
+
+
+def read_published(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
+    """Published tables read back, in their columns."""
+    return {
+        name: spark.read.schema(table.schema).parquet(f"{root}/{name}").select(*table.columns)
+        for name, table in tables.items()
+    }
+
+
+def available_years(year_table: DataFrame, current_year: Column, sites: DataFrame | None = None) -> DataFrame:
+    """Years with a report per site, and the one being made, in order.
+
+    The current year is listed for every site of ``sites``, or else for those
+    that have a report already.
     """
-    for name, report in tables.items():
-        if "dt" in report.columns:
-            report = report.withColumn("month", period_label(F.col("dt"), "month"))
-        key = "month" if "month" in report.columns else "year"
-        order = [
-            F.desc(c) if c == "hits" else F.asc(c)
-            for c in ("dt", "rank", "hour", "pos", "hits", "path", "bot_name", "referer")
-            if c in report.columns
-        ]
-        write_partitioned(report, f"{root}/{name}", ["domain", key], order)
-
-
-def available_years(year_table: DataFrame, current_year: Column) -> DataFrame:
-    """Years with a report per site, and the one being made, in order."""
     known = year_table.select("domain", F.col("year").cast("int").alias("year")).distinct()
-    current = known.select("domain").distinct().select(
-        "domain", current_year.cast("int").alias("year")
-    )
+    named = (known if sites is None else sites).select("domain").distinct()
+    current = named.select("domain", current_year.cast("int").alias("year"))
     return known.union(current).distinct().orderBy("domain", "year")

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a key table (sites x days) is broadcast.
-BROADCAST_ROWS = 1_000_000
-
 
 def balanced(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of a key brought together, in tasks of similar size.
@@ -40,10 +37,35 @@ def write_partitioned(
     )
 
 
-def broadcast_if_small(keys: DataFrame) -> DataFrame:
-    """Mark a key table for broadcast after counting that it is small enough.
+def byte_setting(spark: SparkSession, key: str) -> int:
+    """A size of the session in bytes."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+
+
+def write_ordered(
+    rows: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    size: int,
+    options: dict[str, str],
+) -> None:
+    """Write a partitioned Parquet table whose files are disjoint ranges of the order.
 
-    A larger one is left to the planner, which then joins by shuffle.
+    Rows are dealt by ranges of the keys and the order, as many as ``size``
+    (bytes) needs, so a partition of ordinary size is one file or two, and one
+    of any size is several files that follow each other. Rows equal in all of
+    the order stay together.
     """
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(keys) if small else keys
+    spark = rows.sparkSession
+    advisory = byte_setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    ranges = max(1, -(-size // advisory))
+    dealt = rows.repartitionByRange(ranges, *keys, *order) if ranges > 1 else rows.coalesce(1)
+    (
+        dealt.sortWithinPartitions(*keys, *order)
+        .write.partitionBy(*keys)
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .options(**options)
+        .parquet(path)
+    )

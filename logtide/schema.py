@@ -10,6 +10,7 @@ from pyspark.sql.types import (
     StringType,
     StructField,
     StructType,
+    TimestampType,
 )
 
 # --- fixed values -----------------------------------------------------------
@@ -112,3 +113,18 @@ DAY_METRICS_SCHEMA = StructType(
         *_day_fields,
     ]
 )
+
+#: What is known of every day that was ever fetched: the files it came from, the
+#: day it was fetched on, and whether a run on it has not ended.
+STATE_SCHEMA = StructType(
+    [
+        *_day_fields,
+        StructField("source", StringType()),
+        StructField("files", LongType()),
+        StructField("bytes", LongType()),
+        StructField("newest", TimestampType()),
+        StructField("synced_on", DateType()),
+        StructField("has_visitors", BooleanType()),
+        StructField("pending", BooleanType()),
+    ]
+)

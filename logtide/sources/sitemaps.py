@@ -4,50 +4,82 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.sources.lookups import Site
-from logtide.sources.storage import path_exists
+from logtide.sources.lookups import Site, local_table
+from logtide.sources.storage import file_uri, path_exists, without_scheme
 
 _log = logging.getLogger(__name__)
 
 _SCHEMA = "domain string, pos bigint, loc string"
 
 
-def read_sitemap(spark: SparkSession, site: Site) -> DataFrame:
-    """``(domain, pos, loc)``: the ``<url><loc>`` entries of one site in file order.
-
-    ``pos`` rises in file order but has gaps. Only flat sitemaps are read. A
-    missing file gives a warning and no entries; an entry that is broken or has
-    no ``loc`` makes the whole file count as unreadable.
-    """
-    if site.sitemap is None:
-        return spark.createDataFrame([], _SCHEMA)
-    if not path_exists(spark, site.sitemap):
-        _log.warning("sitemap of %s not found: %s", site.domain, site.sitemap)
-        return spark.createDataFrame([], _SCHEMA)
+def _entries(spark: SparkSession, sites: Sequence[Site]) -> DataFrame:
+    """All ``<url>`` entries of the files that exist, in one scan; a broken one has no ``loc``."""
+    files = sorted({site.sitemap for site in sites})
+    owners = local_table(
+        spark,
+        {
+            "domain": ([s.domain for s in sites], pa.string()),
+            "file": ([file_uri(spark, s.sitemap) for s in sites], pa.string()),
+        },
+    ).withColumn("file", without_scheme(F.col("file")))
     entries = (
         spark.read.format("xml")
         .option("rowTag", "url")
         .option("mode", "PERMISSIVE")
         .schema("loc string")
-        .load(site.sitemap)
+        .load(files)
         .select(
-            F.lit(site.domain).alias("domain"),
+            without_scheme(F.col("_metadata.file_path")).alias("file"),
             F.monotonically_increasing_id().alias("pos"),
             "loc",
         )
     )
+    return entries.join(owners, "file").select("domain", "pos", "loc")
+
+
+def _present(spark: SparkSession, sites: Sequence[Site]) -> list[Site]:
+    """The sites whose sitemap exists; a missing one gives a warning."""
+    named = [site for site in sites if site.sitemap is not None]
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        found = list(pool.map(lambda site: path_exists(spark, site.sitemap), named))
+    for site, exists in zip(named, found, strict=True):
+        if not exists:
+            _log.warning("sitemap of %s not found: %s", site.domain, site.sitemap)
+    return [site for site, exists in zip(named, found, strict=True) if exists]
+
+
+def read_sitemaps(spark: SparkSession, sites: Sequence[Site]) -> DataFrame:
+    """``(domain, pos, loc)``: the ``<url><loc>`` entries of the sites in file order.
+
+    ``pos`` rises in file order but has gaps. Only flat sitemaps are read. A
+    missing file gives a warning and no entries; an entry that is broken or has
+    no ``loc`` makes the whole file count as unreadable (``unreadable_sitemaps``).
+    """
+    present = _present(spark, sites)
+    if not present:
+        return spark.createDataFrame([], _SCHEMA)
+    entries = _entries(spark, present)
     broken = entries.where(F.col("loc").isNull()).select("domain").distinct()
     return entries.join(broken, "domain", "left_anti")
 
 
-def read_sitemaps(spark: SparkSession, sites: Sequence[Site]) -> DataFrame:
-    """Entries of every site that has a sitemap."""
-    entries = spark.createDataFrame([], _SCHEMA)
-    for site in sites:
-        if site.sitemap is not None:
-            entries = entries.unionByName(read_sitemap(spark, site))
-    return entries
+def read_sitemap(spark: SparkSession, site: Site) -> DataFrame:
+    """The entries of one site."""
+    return read_sitemaps(spark, [site])
+
+
+def unreadable_sitemaps(spark: SparkSession, sites: Sequence[Site]) -> DataFrame:
+    """``(domain)`` of the sites whose sitemap is missing or has a broken entry."""
+    present = _present(spark, sites)
+    missing = [s.domain for s in sites if s.sitemap is not None and s not in present]
+    absent = local_table(spark, {"domain": (missing, pa.string())})
+    if not present:
+        return absent
+    broken = _entries(spark, present).where(F.col("loc").isNull()).select("domain").distinct()
+    return absent.union(broken)

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_point
+from logtide import queries as catalogue
 from logtide.operators import rankings, rollups
 from logtide.operators.calendars import log_months
 from logtide.operators.requests import classify
@@ -98,13 +98,13 @@ WRITING = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_point.queries()) - WRITING))
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - WRITING))
 def test_no_query_pairs_rows(spark, name):
-    plan = plan_of(entry_point.queries()[name](spark, SF_DIR))
+    plan = plan_of(catalogue.queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan
     assert "NestedLoop" not in plan
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
 
 
 def test_gap_report_joins_on_equal_keys(spark):
-    assert "LeftAnti" in plan_of(entry_point.queries()["sitemap_gaps"](spark, SF_DIR))
+    assert "LeftAnti" in plan_of(catalogue.queries()["sitemap_gaps"](spark, SF_DIR))

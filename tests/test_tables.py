@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 
 from logtide.operators import calendars, rollups
 from logtide.operators.requests import classify
-from logtide.plans import compaction, refresh, reports, tables
-from logtide.plans.tables import broadcast_if_small
+from logtide.plans import compaction, refresh, reports
 from logtide.schema import DAY_KEYS, NARROW_COLUMNS
 from logtide.sources import logs as log_source
 from logtide.sources.lookups import Site, select_sites, sites_table
-from logtide.sources.storage import drop_partitions, fresh_folder, partition_days, partition_files
+from logtide.sources import storage
+from logtide.sources.storage import (
+    broadcast_if_small,
+    drop_partitions,
+    fresh_folder,
+    partition_days,
+    partition_files,
+)
 from tests.logs import BOTS, GOOGLE, log, row, rows_of
 
 D1, D2, D3, D4 = (date(2026, 3, d) for d in (1, 2, 3, 4))
@@ -240,8 +246,10 @@ def test_refresh_takes_new_days_today_and_forced_ones(spark, tmp_path):
     narrow = log_source.read_narrow(spark, f"{root}/{refresh.NARROW}")
     assert rows_of(narrow) == rows_of(full, *narrow.columns)
 
+    # Day 3 was read before it was over, so it is read once more.
     forced = sync(spark, root, later, wanted, D4, F.col("dt") == D1)
-    assert forced == [("2026-03-01", "forced")]
+    assert forced == [("2026-03-01", "forced"), ("2026-03-03", "part_day")]
+    assert sync(spark, root, later, wanted, D4) == []
     daily = reports.day_metric(refresh.read_day_metrics(spark, root), "traffic")
     assert rows_of(daily, "dt", "hits", "visitors") == [
         ("2026-03-01", 3, 3),
@@ -314,7 +322,7 @@ def test_scratch_space_follows_the_session(spark):
 def test_only_counted_key_tables_are_broadcast(spark, monkeypatch):
     keys = spark.range(10)
     assert "ResolvedHint" in broadcast_if_small(keys)._jdf.queryExecution().analyzed().toString()
-    monkeypatch.setattr(tables, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 5)
     assert "ResolvedHint" not in broadcast_if_small(keys)._jdf.queryExecution().analyzed().toString()
 
 
