@@ -10,9 +10,12 @@ _LOG = """
 WITH page_count AS (SELECT max(page_id) + 1 AS n FROM pages),
 access_log AS (
   SELECT CASE WHEN event_id % 3 = 0 THEN 'b.example.org' ELSE 'a.example.com' END AS domain,
-         CAST(ts AS DATE) AS dt,
-         substring(CAST(ts AS VARCHAR), 1, 10) AS date,
-         substring(CAST(ts AS VARCHAR), 12, 8) AS time,
+         e.event_id, CAST(ts AS DATE) + CASE WHEN day(ts) <= 20 THEN -10 ELSE 11 END AS dt,
+         CASE WHEN event_id % 59 = 0 THEN '2024-03-15'
+              ELSE strftime(CAST(ts AS DATE) + CASE WHEN day(ts) <= 20 THEN -10 ELSE 11 END,
+                            '%Y-%m-%d') END AS date,
+         CASE WHEN event_id % 53 = 0 THEN '25' ELSE substring(CAST(ts AS VARCHAR), 12, 2) END ||
+           substring(CAST(ts AS VARCHAR), 14, 6) AS time,
          CASE WHEN event_id % 97 = 0 THEN NULL
               ELSE '10.0.0.' || CAST(user_id AS VARCHAR) END AS c_ip,
          CASE WHEN event_type = 'signup' THEN 'POST' ELSE 'GET' END AS cs_method,
@@ -25,18 +28,29 @@ access_log AS (
          CASE event_id % 7 WHEN 0 THEN '-' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN url
               WHEN 4 THEN 'https://A.Example.com/x' WHEN 5 THEN 'android-app://com.app'
               ELSE 'https://search.example.net?q=1' END AS "cs_Referer",
-         CASE user_id % 8 WHEN 0 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)'
+         CASE user_id % 16 WHEN 0 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)'
               WHEN 1 THEN 'Mozilla/5.0 (compatible; bingbot/2.0)'
-              WHEN 2 THEN NULL WHEN 3 THEN '' ELSE 'Mozilla/5.0' END AS "cs_User_Agent"
+              WHEN 2 THEN NULL WHEN 3 THEN '' WHEN 4 THEN 'Googlebot-Image/1.0'
+              WHEN 5 THEN 'DuckDuckBot/1.1 (like bingbot)' WHEN 6 THEN 'AhrefsBot/7.0'
+              WHEN 7 THEN 'SemrushBot/7' WHEN 8 THEN 'Mozilla/5.0 (compatible; YandexBot/3.0)'
+              WHEN 9 THEN 'Applebot/0.1' WHEN 10 THEN 'UnknownBot/1.0'
+              ELSE 'Mozilla/5.0' END AS "cs_User_Agent"
   FROM events e CROSS JOIN page_count LEFT JOIN pages p ON p.page_id = e.event_id % n
 ),
+-- the extensions are fixed values, as in schema.py
 requests AS (
   SELECT domain, dt, strftime(dt, '%Y-%m') AS month, CAST(year(dt) AS INTEGER) AS year, time,
          coalesce(c_ip, '') AS c_ip,
          coalesce(cs_uri_stem, '') AS path,
          coalesce("cs_Referer", '') AS referer,
-         CASE WHEN contains("cs_User_Agent", 'Googlebot') THEN 'Google'
-              WHEN contains("cs_User_Agent", 'bingbot') THEN 'Bing' END AS bot_name,
+         CASE WHEN contains("cs_User_Agent", 'Googlebot-Image') THEN 'Google Images'
+              WHEN contains("cs_User_Agent", 'Googlebot') THEN 'Google'
+              WHEN contains("cs_User_Agent", 'DuckDuckBot') THEN 'DuckDuckGo'
+              WHEN contains("cs_User_Agent", 'bingbot') THEN 'Bing'
+              WHEN contains("cs_User_Agent", 'AhrefsBot') THEN 'Ahrefs'
+              WHEN contains("cs_User_Agent", 'SemrushBot') THEN 'Semrush'
+              WHEN contains("cs_User_Agent", 'YandexBot') THEN 'Yandex'
+              WHEN contains("cs_User_Agent", 'Applebot') THEN 'Apple' END AS bot_name,
          coalesce(contains("cs_User_Agent", 'Googlebot'), false) AS crawler,
          cs_method = 'GET' AND sc_status IN ('200', '304') AS is_hit,
          CASE WHEN regexp_matches(substring(time, 1, 2), '^([0-9][0-9]|[+][0-9])$')
@@ -50,7 +64,7 @@ requests AS (
               WHEN 'eot' THEN 'font' WHEN 'otf' THEN 'font'
               WHEN 'xml' THEN 'data' WHEN 'json' THEN 'data' WHEN 'rss' THEN 'data'
               WHEN 'atom' THEN 'data' WHEN 'txt' THEN 'data' ELSE 'page' END AS category
-  FROM access_log
+  FROM access_log WHERE date = strftime(dt, '%Y-%m-%d')
 ),
 hits AS (SELECT * FROM requests WHERE is_hit),
 sites AS (SELECT unnest(['a.example.com', 'b.example.org']) AS domain),
@@ -247,6 +261,61 @@ compaction_days AS (
 )"""
 
 
+_QUALITY = """,
+quality AS (
+  SELECT {keys}, count(*) FILTER (NOT own) AS stray_date_rows,
+         count(*) FILTER (own AND hour > 23) AS bad_hour_rows,
+         count(*) FILTER (own AND c_ip IS NULL) AS null_ip_rows,
+         count(*) FILTER (own AND "cs_User_Agent" IS NULL) AS null_ua_rows
+  FROM (SELECT *, date = strftime(dt, '%Y-%m-%d') AS own, strftime(dt, '%Y-%m') AS month,
+               coalesce(TRY_CAST(substring(time, 1, 2) AS INTEGER), 0) AS hour
+        FROM access_log)
+  GROUP BY ALL
+)"""
+
+# What the report job publishes for the last year of the log on the day after
+# its last, with one file that is too small.
+_PUBLISHED = (
+    _TRAFFIC.format(key="dt").replace("counted", "day_counts").replace("traffic", "by_day")
+    + _TRAFFIC.format(key="month").replace("counted", "month_counts").replace("traffic", "by_month")
+    + _HOURLY
+    + _QUALITY.format(keys="domain, month")
+    + """,
+span AS (SELECT CAST(date_trunc('year', last_dt) AS DATE) AS low, last_dt + 1 AS high,
+                CAST(year(last_dt) AS INTEGER) AS this_year, last_dt FROM bounds),
+daily AS (SELECT b.* FROM by_day b CROSS JOIN span WHERE dt BETWEEN low AND high),
+monthly AS (SELECT b.* FROM by_month b CROSS JOIN span
+            WHERE month BETWEEN strftime(low, '%Y-%m') AND strftime(high, '%Y-%m'))
+SELECT 'daily_traffic' AS report, domain, strftime(dt, '%Y-%m-%d') AS period, 'hits' AS name,
+       CAST(hits AS DOUBLE) AS value FROM daily
+UNION ALL SELECT 'daily_traffic', domain, strftime(dt, '%Y-%m-%d'), 'visitors',
+       CAST(visitors AS DOUBLE) FROM daily
+UNION ALL SELECT 'daily_shares', domain, strftime(dt, '%Y-%m-%d'), 'share_of_max',
+       hits / greatest(max(hits) OVER (PARTITION BY domain, strftime(dt, '%Y-%m')), 1) * 100
+       FROM daily
+UNION ALL SELECT 'hourly_shares', domain, strftime(dt, '%Y-%m-%d'), CAST(hour AS VARCHAR),
+       hits / greatest(max(hits) OVER (PARTITION BY domain, dt), 1) * 100
+       FROM hours CROSS JOIN span WHERE dt BETWEEN low AND high
+UNION ALL SELECT 'month_shares', domain, month, 'share_of_max',
+       hits / greatest(max(hits) OVER (PARTITION BY domain), 1) * 100 FROM monthly
+UNION ALL SELECT 'years', domain, CAST(this_year AS VARCHAR), 'is_current', 1.0
+       FROM sites CROSS JOIN span
+UNION ALL SELECT 'data_quality', domain, month, name, CAST(value AS DOUBLE) FROM (
+    SELECT domain, month, unnest(['stray_date_rows', 'bad_hour_rows', 'null_ip_rows',
+                                  'null_ua_rows', 'tiny_files']) AS name,
+           unnest([coalesce(stray_date_rows, 0), coalesce(bad_hour_rows, 0),
+                   coalesce(null_ip_rows, 0), coalesce(null_ua_rows, 0),
+                   CASE WHEN domain = 'a.example.com' AND month = strftime(last_dt, '%Y-%m')
+                        THEN 1 ELSE 0 END]) AS value
+    FROM monthly CROSS JOIN span LEFT JOIN quality USING (domain, month))"""
+)
+
+_KEY = (
+    "date || chr(1) || sc_status || chr(1) || cs_method || chr(1) || coalesce(cs_uri_stem, '') "
+    "|| chr(1) || time"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "access_log_narrow": _LOG + _NARROW,
@@ -254,17 +323,16 @@ def oracle_sql() -> dict[str, str]:
         + " SELECT domain, dt, category, bot_name, is_hit, count(*) AS n FROM requests GROUP BY ALL",
         "bot_dimension": _LOG
         + """ SELECT DISTINCT coalesce("cs_User_Agent", '') AS ua,
-              CASE WHEN contains("cs_User_Agent", 'Googlebot') THEN 'Google'
-                   WHEN contains("cs_User_Agent", 'bingbot') THEN 'Bing' END AS bot_name
+              CASE WHEN contains("cs_User_Agent", 'Googlebot-Image') THEN 'Google Images'
+              WHEN contains("cs_User_Agent", 'Googlebot') THEN 'Google'
+              WHEN contains("cs_User_Agent", 'DuckDuckBot') THEN 'DuckDuckGo'
+              WHEN contains("cs_User_Agent", 'bingbot') THEN 'Bing'
+              WHEN contains("cs_User_Agent", 'AhrefsBot') THEN 'Ahrefs'
+              WHEN contains("cs_User_Agent", 'SemrushBot') THEN 'Semrush'
+              WHEN contains("cs_User_Agent", 'YandexBot') THEN 'Yandex'
+              WHEN contains("cs_User_Agent", 'Applebot') THEN 'Apple' END AS bot_name
               FROM access_log""",
-        "data_quality": _LOG
-        + """ SELECT domain, count(*) FILTER (hour > 23) AS bad_hour_rows,
-              count(*) FILTER (raw_ip IS NULL) AS null_ip_rows,
-              count(*) FILTER (raw_ua IS NULL) AS null_ua_rows
-              FROM (SELECT domain, c_ip AS raw_ip, "cs_User_Agent" AS raw_ua,
-                           coalesce(TRY_CAST(substring(time, 1, 2) AS INTEGER), 0) AS hour
-                    FROM access_log)
-              GROUP BY domain""",
+        "data_quality": _LOG + _QUALITY.format(keys="domain") + " SELECT * FROM quality",
         "calendar_days": _LOG
         + """ SELECT dt, CAST(day(dt) AS INTEGER) AS day, strftime(dt, '%b') AS month_label,
               strftime(dt, '%b %-d') AS tab_label,
@@ -290,7 +358,8 @@ def oracle_sql() -> dict[str, str]:
         "unique_visitors_range": _LOG
         + """ SELECT domain, count(DISTINCT c_ip) AS visitors,
               count(DISTINCT c_ip) FILTER (bot_name IS NOT NULL) AS bot_visitors
-              FROM hits CROSS JOIN bounds WHERE dt BETWEEN first_dt AND last_dt GROUP BY domain""",
+              FROM hits CROSS JOIN bounds
+              WHERE dt BETWEEN first_dt + 5 AND last_dt - 5 GROUP BY domain""",
         "month_totals": _traffic("month", "hits, visitors, bot_hits, bot_visitors"),
         "year_totals": _traffic("year", "hits, visitors, bot_hits, bot_visitors"),
         "monthly_traffic": _traffic("month", "hits, visitors"),
@@ -334,12 +403,26 @@ def oracle_sql() -> dict[str, str]:
                 WHERE s.dt <= last_dt) WHERE reason IS NOT NULL""",
         "refreshed_log": _LOG + _NARROW,
         "refreshed_month_totals": _traffic("month", "hits, visitors, bot_hits, bot_visitors"),
+        "late_rows_month_totals": _traffic("month", "hits, visitors, bot_hits, bot_visitors"),
+        "interrupted_refresh_totals": _traffic("month", "hits, visitors, bot_hits, bot_visitors"),
         "compaction_plan": _LOG
         + _LOG_DAYS
         + """ SELECT domain, dt, CASE WHEN done THEN 0 ELSE n END AS rows,
               CASE WHEN done THEN 'exists' WHEN n = 0 THEN 'no_raw' ELSE 'compact' END AS action
               FROM compaction_days""",
         "compacted_log": _LOG + _NARROW,
+        "compacted_day_order": _LOG
+        + f""" SELECT domain, dt, count(*) AS rows, min({_KEY}) AS first_key,
+               max({_KEY}) AS last_key, CAST(0 AS BIGINT) AS overlapping_files
+               FROM access_log GROUP BY ALL""",
+        "compaction_totals": _LOG
+        + _LOG_DAYS
+        + """ SELECT domain, count(*) FILTER (NOT (done OR n = 0)) AS compacted_days,
+              count(*) FILTER (done OR n = 0) AS skipped_days,
+              CAST(sum(CASE WHEN done THEN 0 ELSE n END) AS BIGINT) AS rows
+              FROM compaction_days GROUP BY domain""",
+        "published_reports": _LOG + _PUBLISHED,
+        "sitemap_entries": "SELECT url AS loc FROM pages",
         "compaction_summary": _LOG
         + _LOG_DAYS
         + """ SELECT domain, dt, CASE WHEN done THEN 0 ELSE n END AS rows,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 from logtide.functions.calendars import period_label
 from logtide.operators import calendars, gaps, rankings, rollups
 from logtide.operators import requests as req
-from logtide.plans import compaction, refresh, reports
+from logtide.plans import compaction, jobs, refresh, reports
+from logtide.plans.state import read_state
 from logtide.schema import (
     DAY_KEYS,
-    NARROW_COLUMNS,
     TOP_BOTS,
     TOP_BOTS_YEAR,
     TOP_GAPS,
@@ -22,9 +23,10 @@ from logtide.schema import (
     TOP_REFERERS,
 )
 from logtide.sources.event_log import BOTS, SITES, access_log, sitemap
-from logtide.sources.logs import read_narrow
+from logtide.sources.logs import LogSource, read_narrow
 from logtide.sources.lookups import Site, bots_table, select_sites, sites_table
-from logtide.sources.storage import fresh_folder, partition_days
+from logtide.sources.sitemaps import read_sitemaps
+from logtide.sources.storage import fresh_folder, glob_files, mark
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,9 +83,12 @@ def _site_daily_traffic(i: _Inputs) -> DataFrame:
 
 
 def _unique_visitors_range(i: _Inputs) -> DataFrame:
-    bounds = i.log.agg(F.min("dt").alias("first"), F.max("dt").alias("last"))
-    first, last = bounds.select("first").scalar(), bounds.select("last").scalar()
-    return rollups.range_visitors(rollups.visitor_days(i.requests), first, last)
+    """A range inside the log, from the stored visitor table."""
+    root = fresh_folder(i.spark, "range")
+    refresh.write_visitors(rollups.visitor_days(i.requests), root)
+    first, last = i.bounds()
+    first, last = first + timedelta(days=5), last - timedelta(days=5)
+    return rollups.range_visitors(refresh.read_visitors(i.spark, root, first, last), first, last)
 
 
 def _calendar_days(i: _Inputs) -> DataFrame:
@@ -103,29 +108,29 @@ def _access_log_narrow(i: _Inputs) -> DataFrame:
 
 def _visitor_days(i: _Inputs) -> DataFrame:
     root = fresh_folder(i.spark, "visitors")
-    refresh.write_visitors(i.requests, root)
+    refresh.write_visitors(rollups.visitor_days(i.requests), root)
     return refresh.read_visitors(i.spark, root)
 
 
-def _sync_plan(i: _Inputs) -> DataFrame:
-    """The log is cached up to a week before its last day, which is "today"."""
-    root = fresh_folder(i.spark, "sync")
-    first, last = i.bounds()
-    refresh.write_narrow(i.log.where(F.col("dt") < last - timedelta(days=7)), root)
-    wanted = calendars.site_days(sites_table(i.spark, SITES), *i.months, as_of=last)
-    cached = partition_days(i.spark, f"{root}/{refresh.NARROW}")
-    return refresh.sync_plan(wanted, cached, last, F.col("dt") == first)
-
-
 def _partly_synced(i: _Inputs, name: str) -> tuple[str, DataFrame, date, Column]:
     """A cache of the days up to a week before the last, and what a refresh takes."""
     root = fresh_folder(i.spark, name)
     first, last = i.bounds()
-    refresh.write_narrow(i.log.where(F.col("dt") < last - timedelta(days=7)), root)
+    earlier = i.log.where(F.col("dt") < last - timedelta(days=7))
+    days = earlier.select(*DAY_KEYS).distinct()
+    refresh.sync_log(i.spark, earlier, days, root, last)
+    refresh.mark_done(i.spark, days, root)
     wanted = calendars.site_days(sites_table(i.spark, SITES), first, last)
     return root, wanted, last, F.col("dt") == first
 
 
+def _sync_plan(i: _Inputs) -> DataFrame:
+    """The log is cached up to a week before its last day, which is "today"."""
+    root, _, last, forced = _partly_synced(i, "sync")
+    wanted = calendars.site_days(sites_table(i.spark, SITES), *i.months, as_of=last)
+    return refresh.sync_plan(wanted, read_state(i.spark, root), last, forced)
+
+
 def _refreshed_log(i: _Inputs) -> DataFrame:
     """A log cached in part is whole again after the sync."""
     root, wanted, last, forced = _partly_synced(i, "synced")
@@ -133,70 +138,186 @@ def _refreshed_log(i: _Inputs) -> DataFrame:
     return read_narrow(i.spark, f"{root}/{refresh.NARROW}")
 
 
-def _refreshed_month_totals(i: _Inputs) -> DataFrame:
+def _stored_month_totals(i: _Inputs, root: str) -> DataFrame:
     """Month totals from the stored tables a refresh leaves behind."""
-    root, wanted, last, forced = _partly_synced(i, "refreshed")
-    refresh.refresh(i.spark, i.log, wanted, root, BOTS, last, forced)
     table = refresh.read_day_metrics(i.spark, root)
-    return reports.period_tables(table, refresh.read_visitors(i.spark, root), "month")[
-        "month_totals"
-    ]
+    return reports.base_tables(table, refresh.read_visitors(i.spark, root), "month")["month_totals"]
 
 
-_landed: dict[tuple[str, str], str] = {}
+def _refreshed_month_totals(i: _Inputs) -> DataFrame:
+    root = fresh_folder(i.spark, "refreshed")
+    first, last = i.bounds()
+    earlier, wanted = last - timedelta(days=7), sites_table(i.spark, SITES)
+    before = calendars.site_days(wanted, first, earlier)
+    refresh.refresh(i.spark, i.log, before, root, BOTS, earlier + timedelta(days=1))
+    days = calendars.site_days(wanted, first, last)
+    refresh.refresh(i.spark, i.log, days, root, BOTS, last, F.col("dt") == first)
+    return _stored_month_totals(i, root)
+
 
+def _late_rows_month_totals(i: _Inputs) -> DataFrame:
+    """Raw files: a day is read while it is written, and more of it lands afterwards."""
+    root, raw = fresh_folder(i.spark, "late"), fresh_folder(i.spark, "raw")
+    first, last = i.bounds()
+    cut = last - timedelta(days=4)
+    early = (F.col("dt") < cut) | ((F.col("dt") == cut) & (F.col("time") < "12:00:00"))
+    sites = [Site(s.domain, f"{raw}/domain={s.domain}") for s in SITES]
+    for rows, end, as_of in (
+        (i.log.where(early), cut, cut),
+        (i.log.where(~early), last, last + timedelta(days=1)),
+    ):
+        _land(rows, raw)
+        source = LogSource(i.spark, sites, f"{root}/none", first, end)
+        wanted = calendars.site_days(sites_table(i.spark, sites), first, end)
+        refresh.refresh(
+            i.spark, source.rows, wanted, root, BOTS, as_of, listing=source.listing()
+        )
+    return _stored_month_totals(i, root)
 
-def _land_raw(i: _Inputs) -> tuple[list[Site], str]:
-    """The log as raw delivery files, two folders a day, and an empty table.
 
-    The files are input that no query changes, so a session lands them once.
+def _interrupted_refresh_totals(i: _Inputs) -> DataFrame:
+    """A run on all days ends after the log was fetched; the next one makes up for it."""
+    root = fresh_folder(i.spark, "interrupted")
+    first, last = i.bounds()
+    as_of = last + timedelta(days=1)
+    wanted = calendars.site_days(sites_table(i.spark, SITES), first, last)
+    half = i.log.where(F.col("time") < "12:00:00")
+    refresh.refresh(i.spark, half, wanted, root, BOTS, as_of)
+    refresh.sync_log(i.spark, i.log, wanted, root, as_of, F.lit(True))
+    refresh.refresh(i.spark, i.log, wanted, root, BOTS, as_of)
+    return _stored_month_totals(i, root)
+
+
+def _land(log: DataFrame, root: str) -> None:
+    """Add rows as raw delivery files, two folders a day."""
+    parts = {"year": "yyyy", "month": "MM", "day": "dd"}
+    hour = F.when(F.col("time") < "12:00:00", "00").otherwise("12")
+    keys = ["domain", *parts, "hour"]
+    others = [c for c in log.columns if c not in DAY_KEYS]
+    (
+        log.withColumns({k: F.date_format("dt", v) for k, v in parts.items()})
+        .withColumn("hour", hour)
+        .hint("rebalance", *[F.col(k) for k in keys])
+        .select(*keys, *others)
+        .write.partitionBy(*keys)
+        .mode("append")
+        .parquet(root)
+    )
+
+
+def land_raw(i: _Inputs) -> list[Site]:
+    """The log as raw delivery files of two sites, and a site without files.
+
+    A column has another type at the second site, and one file is too small.
     """
-    known = (i.spark.sparkContext.applicationId, i.sf_dir)
-    if known not in _landed:
-        root = fresh_folder(i.spark, "raw")
-        parts = {"year": "yyyy", "month": "MM", "day": "dd"}
-        hour = F.when(F.col("time") < "12:00:00", "00").otherwise("12")
-        keys = ["domain", *parts, "hour"]
-        (
-            i.log.withColumns({k: F.date_format("dt", v) for k, v in parts.items()})
-            .withColumn("hour", hour)
-            .hint("rebalance", *[F.col(k) for k in keys])
-            .select(*keys, *NARROW_COLUMNS)
-            .write.partitionBy(*keys)
-            .parquet(root)
-        )
-        _landed[known] = root
+    root = fresh_folder(i.spark, "raw")
+    one, other = (F.col("domain") == SITES[0].domain), (F.col("domain") != SITES[0].domain)
+    _land(i.log.where(one).withColumn("sc_bytes", F.length("cs_uri_stem").cast("bigint")), root)
+    _land(i.log.where(other).withColumn("sc_bytes", F.lit("-")), root)
+    _, last = i.bounds()
+    day = f"year={last:%Y}/month={last:%m}/day={last:%d}/hour=12"
+    mark(i.spark, f"{root}/domain={SITES[0].domain}/{day}/tiny.parquet", "PAR1")
     domains = [*[s.domain for s in SITES], IDLE_SITE]
-    sites = [Site(d, f"{_landed[known]}/domain={d}") for d in domains]
-    return sites, fresh_folder(i.spark, "compact")
+    return [Site(d, f"{root}/domain={d}") for d in domains]
+
+
+def _to_compact(i: _Inputs) -> tuple[list[Site], str]:
+    """Raw files, and a table of the days up to a week before the last one."""
+    table = fresh_folder(i.spark, "compact")
+    _, last = i.bounds()
+    done = i.log.where(F.col("dt") < last - timedelta(days=7))
+    compaction.sort_and_write(done, table)
+    return land_raw(i), table
 
 
 def _compaction_plan(i: _Inputs) -> DataFrame:
     """Plan on the last day of the log, with the days up to a week before it done."""
-    sites, table = _land_raw(i)
+    sites, table = _to_compact(i)
     first, last = i.bounds()
-    done = i.log.where(F.col("dt") < last - timedelta(days=7))
-    compaction.sort_and_write(done, table)
     plan = compaction.compaction_plan(i.spark, sites, table, first, last, as_of=last)
     return plan.select(*DAY_KEYS, "rows", "action")
 
 
-def _compacted_log(i: _Inputs) -> DataFrame:
-    sites, table = _land_raw(i)
+def _compacted(i: _Inputs) -> str:
+    table = fresh_folder(i.spark, "compact")
     first, last = i.bounds()
-    compaction.compact(i.spark, sites, table, first, last, as_of=last + timedelta(days=1))
-    return read_narrow(i.spark, table)
+    after = last + timedelta(days=1)
+    compaction.compact(i.spark, land_raw(i), table, first, last, as_of=after)
+    return table
+
+
+def _compacted_day_order(i: _Inputs) -> DataFrame:
+    """First and last key of every compacted day, and whether its files overlap."""
+    return compaction.file_order(i.spark, _compacted(i)).drop("files")
 
 
 def _compaction_summary(i: _Inputs) -> DataFrame:
-    sites, table = _land_raw(i)
+    sites, table = _to_compact(i)
     first, last = i.bounds()
-    done = i.log.where(F.col("dt") < last - timedelta(days=7))
-    compaction.sort_and_write(done, table)
     summary = compaction.compact(i.spark, sites, table, first, last, as_of=last)
     return summary.select(*DAY_KEYS, "rows", "skipped")
 
 
+def _compaction_totals(i: _Inputs) -> DataFrame:
+    """What a compaction run did, per site."""
+    sites, table = _to_compact(i)
+    first, last = i.bounds()
+    summary = compaction.compact(i.spark, sites, table, first, last, as_of=last)
+    columns = ("domain", "compacted_days", "skipped_days", "rows")
+    return compaction.run_totals(summary).select(*columns)
+
+
+def report_job(i: _Inputs, sites: list[Site], root: str) -> str:
+    """The report job on the day after the log's last, for its last year; where it publishes."""
+    _, last = i.bounds()
+    jobs.report(
+        i.spark, sites, BOTS, f"{root}/none", f"{root}/cache", f"{root}/out",
+        year=str(last.year), as_of=last + timedelta(days=1),
+    )
+    return f"{root}/out"
+
+
+def _published_reports(i: _Inputs) -> DataFrame:
+    """Figures of the published tables no other query reads, one per row."""
+    root = fresh_folder(i.spark, "report")
+    own = {s.domain for s in SITES}
+    out = report_job(i, [s for s in land_raw(i) if s.domain in own], root)
+    figures = {
+        "daily_traffic": ("dt", ["hits", "visitors"]),
+        "daily_shares": ("dt", ["share_of_max"]),
+        "month_shares": ("month", ["share_of_max"]),
+        "years": ("year", ["is_current"]),
+        "data_quality": ("month", [*req.QUALITY_COLUMNS, "tiny_files"]),
+    }
+
+    def figure(report: str, period: Column, name: Column, value: Column) -> list[Column]:
+        return [
+            F.lit(report).alias("report"),
+            "domain",
+            period.cast("string").alias("period"),
+            name.cast("string").alias("name"),
+            value.cast("double").alias("value"),
+        ]
+
+    hours = i.spark.read.parquet(f"{out}/hourly_shares")
+    rows = [hours.select(*figure("hourly_shares", F.col("dt"), F.col("hour"), F.col("share_of_max")))]
+    for report, (period, names) in figures.items():
+        table = i.spark.read.parquet(f"{out}/{report}")
+        rows += [table.select(*figure(report, F.col(period), F.lit(n), F.col(n))) for n in names]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _sitemap_entries(i: _Inputs) -> DataFrame:
+    """The page URLs written as sitemap files, and read back in one scan."""
+    folder = fresh_folder(i.spark, "sitemaps")
+    urls = i.spark.read.parquet(f"{i.sf_dir}/pages.parquet").select(F.col("url").alias("loc"))
+    writer = urls.write.format("xml").option("rootTag", "urlset").option("rowTag", "url")
+    writer.save(folder)
+    files = [f for f in glob_files(i.spark, f"{folder}/part-*")]
+    sites = [Site(f"s{n}.example.com", None, file) for n, file in enumerate(files)]
+    return read_sitemaps(i.spark, sites).select("loc")
+
+
 def _available_years(i: _Inputs) -> DataFrame:
     root = fresh_folder(i.spark, "years")
     reports.publish({"year_totals": rollups.traffic(i.requests, "year")}, root)
@@ -279,7 +400,13 @@ _QUERIES: dict[str, Callable[[_Inputs], DataFrame]] = {
     "refreshed_log": _refreshed_log,
     "refreshed_month_totals": _refreshed_month_totals,
     "compaction_plan": _compaction_plan,
-    "compacted_log": _compacted_log,
+    "late_rows_month_totals": _late_rows_month_totals,
+    "interrupted_refresh_totals": _interrupted_refresh_totals,
+    "compacted_log": lambda i: read_narrow(i.spark, _compacted(i)),
+    "compacted_day_order": _compacted_day_order,
+    "compaction_totals": _compaction_totals,
+    "published_reports": _published_reports,
+    "sitemap_entries": _sitemap_entries,
     "compaction_summary": _compaction_summary,
     "available_years": _available_years,
 }

@@ -1,7 +1,9 @@
 """An access log derived from the ``events`` and ``pages`` tables.
 
 Gives the reports a multi-site log to run on: every event is one request, and
-the page it asks for is ``event_id`` modulo the number of pages.
+the page it asks for is ``event_id`` modulo the number of pages. Days move by the
+third of the month they are in, so that the log covers three months of two
+years; some rows have an impossible hour or the date of another day.
 """
 
 from __future__ import annotations
@@ -13,8 +15,22 @@ from logtide.schema import DAY_KEYS, NARROW_COLUMNS
 from logtide.sources.lookups import Site
 
 SITES = [Site("a.example.com"), Site("b.example.org")]
-BOTS = [("Googlebot", "Google"), ("bingbot", "Bing")]
+BOTS = [
+    ("Googlebot-Image", "Google Images"),
+    ("Googlebot", "Google"),
+    ("DuckDuckBot", "DuckDuckGo"),
+    ("bingbot", "Bing"),
+    ("AhrefsBot", "Ahrefs"),
+    ("SemrushBot", "Semrush"),
+    ("YandexBot", "Yandex"),
+    ("Applebot", "Apple"),
+]
 
+_DAY = "date_add(CAST(ts AS DATE), CASE WHEN day(ts) <= 20 THEN -10 ELSE 11 END)"
+_DATE = f"CASE WHEN event_id % 59 = 0 THEN '2024-03-15' ELSE CAST({_DAY} AS STRING) END"
+_TIME = """
+    concat(CASE WHEN event_id % 53 = 0 THEN '25' ELSE substring(CAST(ts AS STRING), 12, 2) END,
+           substring(CAST(ts AS STRING), 14, 6))"""
 _DOMAIN = "CASE WHEN event_id % 3 = 0 THEN 'b.example.org' ELSE 'a.example.com' END"
 _IP = "CASE WHEN event_id % 97 = 0 THEN NULL ELSE concat('10.0.0.', CAST(user_id AS STRING)) END"
 _METHOD = "CASE WHEN event_type = 'signup' THEN 'POST' ELSE 'GET' END"
@@ -30,9 +46,15 @@ _REFERER = """
                       WHEN 4 THEN 'https://A.Example.com/x' WHEN 5 THEN 'android-app://com.app'
                       ELSE 'https://search.example.net?q=1' END"""
 _AGENT = """
-    CASE user_id % 8 WHEN 0 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)'
-                     WHEN 1 THEN 'Mozilla/5.0 (compatible; bingbot/2.0)'
-                     WHEN 2 THEN NULL WHEN 3 THEN '' ELSE 'Mozilla/5.0' END"""
+    CASE user_id % 16 WHEN 0 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)'
+                      WHEN 1 THEN 'Mozilla/5.0 (compatible; bingbot/2.0)'
+                      WHEN 2 THEN NULL WHEN 3 THEN ''
+                      WHEN 4 THEN 'Googlebot-Image/1.0'
+                      WHEN 5 THEN 'DuckDuckBot/1.1 (like bingbot)'
+                      WHEN 6 THEN 'AhrefsBot/7.0' WHEN 7 THEN 'SemrushBot/7'
+                      WHEN 8 THEN 'Mozilla/5.0 (compatible; YandexBot/3.0)'
+                      WHEN 9 THEN 'Applebot/0.1' WHEN 10 THEN 'UnknownBot/1.0'
+                      ELSE 'Mozilla/5.0' END"""
 
 
 # The schemas of the given tables; naming them saves a footer read per query.
@@ -57,9 +79,9 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return requests.selectExpr(
         f"{_DOMAIN} AS domain",
-        "CAST(ts AS DATE) AS dt",
-        "CAST(CAST(ts AS DATE) AS STRING) AS date",
-        "substring(CAST(ts AS STRING), 12, 8) AS time",
+        f"{_DAY} AS dt",
+        f"{_DATE} AS date",
+        f"{_TIME} AS time",
         f"{_IP} AS c_ip",
         f"{_METHOD} AS cs_method",
         "stem AS cs_uri_stem",

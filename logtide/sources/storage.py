@@ -95,7 +95,8 @@ def day_files(
     """``(domain, dt, path, length, modified)`` of all files of a day-partitioned table.
 
     The listing is a Spark scan that never opens a file. A table, site or range
-    without folders has no files.
+    without folders has no files. Files without a byte are not seen, as Spark
+    passes over them in any scan.
     """
     globs = day_globs(spark, table, domains, first, last)
     if not globs:
@@ -202,10 +203,12 @@ def drop_partitions(spark: SparkSession, folders: Iterable[str]) -> None:
         list(pool.map(drop, folders))
 
 
-def mark(spark: SparkSession, location: str) -> None:
-    """Create an empty file."""
+def mark(spark: SparkSession, location: str, text: str = "") -> None:
+    """Create a small file."""
     path = spark._jvm.org.apache.hadoop.fs.Path(location)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True).close()
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.writeBytes(text)
+    out.close()
 
 
 def broadcast_if_small(keys: DataFrame) -> DataFrame:

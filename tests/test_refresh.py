@@ -145,6 +145,7 @@ def test_bad_raw_files_do_not_stop_a_site(spark, tmp_path):
     runs = Runs(spark, tmp_path)
     runs.land(1, 2)
     (runs.raw / "2026/03/01/00/empty.parquet").write_bytes(b"")
+    (runs.raw / "2026/03/01/00/short.parquet").write_bytes(b"PAR1 PAR1")
     (runs.raw / "2026/03/02/00").mkdir(parents=True)
     (runs.raw / "2026/03/02/00/tiny.parquet").write_bytes(b"PAR1")
     assert runs.report(as_of=4) == 2
