@@ -190,7 +190,7 @@ def test_missing_values(spark):
     pages = rollups.pages(rollups.page_visits(found))
     assert rows_of(pages, "path", "hits", "visitors") == [("", 1, 1), ("/", 4, 3)]
     quality = data_quality(log(spark, [*rows, row(time="24:00:00")]))
-    assert rows_of(quality) == [("example.com", 1, 2, 1)]
+    assert rows_of(quality) == [("example.com", 0, 1, 2, 1)]
 
 
 def test_bot_table_in_place_of_the_list(spark):
