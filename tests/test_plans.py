@@ -95,6 +95,13 @@ WRITING = {
     "compacted_log",
     "compaction_summary",
     "available_years",
+    "unique_visitors_range",
+    "late_rows_month_totals",
+    "interrupted_refresh_totals",
+    "compacted_day_order",
+    "compaction_totals",
+    "published_reports",
+    "sitemap_entries",
 }
 
 
