@@ -16,6 +16,8 @@ shard.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logtide.llm.common import (
-    RANGE_ROWS,
     range_number,
     range_starts,
     running_totals,
@@ -40,9 +41,18 @@ from logtide.llm.perfect_hash import PerfectHash, mixed
 
 #: Bytes of a shard's payload, about; a longer document is a shard by itself.
 SHARD_BYTES = 4 << 20
-#: Words whose ids a task keeps, and the longest of them.
-KEPT_WORDS = 300_000
+#: Words whose ids a task keeps (twice), runs of words, and the longest of both.
+KEPT_WORDS = 250_000
+KEPT_RUNS = 400_000
 KEPT_BYTES = 64
+#: Documents of a key range, which one task writes.
+RANGE_ROWS = 4_000
+#: Bytes of a Parquet row group, so that a writer holds no more.
+ROW_GROUP_BYTES = 16 << 20
+
+# All plain characters, alone and between others.
+_PLAIN_CHARACTERS = [chr(c) for c in [*range(33, 39), *range(40, 127), *range(192, 256)] if c not in (215, 247)]
+_SAMPLE = " ".join(f"{c} x{c}y 5{c}{c}é" for c in _PLAIN_CHARACTERS)
 
 _SHARD = pa.schema(
     [
@@ -68,39 +78,91 @@ _SHARD_DDL = (
 )
 
 
-class WordIds(dict):
+# Runs of plain characters in lower case: letters of ASCII and Latin-1, digits,
+# and other printable ASCII but for the apostrophe. No normalization joins them.
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-`{-~]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """What byte-level pre-tokenizers write for the bytes of Latin-1's letters.
+
+    Bytes that print stand for themselves, the others for the characters from
+    256 on, in their order.
+    """
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [byte for byte in range(256) if byte not in printed]
+    names = {byte: chr(byte) for byte in printed} | {b: chr(256 + n) for n, b in enumerate(moved)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class WordIds:
     """Ids of words by a tokenizer, as bytes; those of short words are kept.
 
     The tokenizer drops white space, and neither its normalizer nor its split
-    looks past it, so a text's ids are those of its words in a row.
+    looks past it, so a text's ids are those of its words in a row. Words of
+    plain characters go straight to the tokenizer's model, run by run, if that
+    gives what the whole tokenizer gives.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.characters = _byte_characters()
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [token.content.lower().encode() for token in added]
         if any(len(content.split()) != 1 for content in self.added):
             raise ValueError(f"{path}: an added token holds white space")
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        found = array(self.code, ids).tobytes()
-        if len(word) <= KEPT_BYTES:
-            self[word] = found
+        self.direct = all(self._by_runs(word) == self._whole(word) for word in _SAMPLE.split())
+
+    def _whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        own = run if run.isascii() else run.translate(self.characters)
+        found = array(self.code, [token.id for token in self.model.tokenize(own)]).tobytes()
+        if len(run) <= KEPT_BYTES:
+            if len(self.runs) >= KEPT_RUNS:
+                self.runs.clear()
+            self.runs[run] = found
         return found
 
+    def _by_runs(self, word: str) -> bytes | None:
+        """Ids of a word of plain characters alone; none for another."""
+        low = word.lower()
+        runs = _RUNS.findall(low)
+        if sum(map(len, runs)) != len(low):
+            return None
+        known = self.runs.get
+        return b"".join([known(run) or self._run(run) for run in runs])
+
+    def _ids(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None and self.direct:
+            found = self._by_runs(word.decode())
+        return self._whole(word.decode()) if found is None else found
+
     def of_text(self, text: str) -> bytes:
         raw = text.encode()
         # The tokenizer puts words in lower case too, so fewer differ. Beyond ASCII
         # the order of its steps matters, and added tokens are found before.
-        low = raw.lower() if raw.isascii() else raw
-        words = (raw if any(content in low for content in self.added) else low).split()
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, words))
+        low = raw.lower()
+        if any(content in low for content in self.added):
+            return b"".join([self._whole(word.decode()) for word in raw.split()])
+        words = (low if raw.isascii() else raw).split()
+        if len(self.words) >= KEPT_WORDS:
+            # Words in use come back from the older half.
+            self.older, self.words = self.words, {}
+        fresh = {word: self._ids(word) for word in set(words).difference(self.words)}
+        self.words.update((word, ids) for word, ids in fresh.items() if len(word) <= KEPT_BYTES)
+        if len(fresh) == 0 or max(map(len, fresh)) <= KEPT_BYTES:
+            return b"".join(map(self.words.__getitem__, words))
+        return b"".join([self.words[w] if w in self.words else fresh[w] for w in words])
 
 
 @lru_cache(maxsize=1)
@@ -234,6 +296,14 @@ def write(
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load_words(path)
+        # Encoding makes many objects and no cycles.
+        gc.disable()
+        try:
+            yield from shards_of(batches, words)
+        finally:
+            gc.enable()
+
+    def shards_of(batches: Iterator[pa.RecordBatch], words: WordIds) -> Iterator[pa.RecordBatch]:
         end = array(words.code, [end_id]).tobytes()
         number, seq, keys, ids, held = None, 0, [], [], 0
 
@@ -257,7 +327,8 @@ def write(
         if keys:
             yield full()
 
-    ordered.mapInArrow(shards, _SHARD_DDL).write.parquet(f"{out}/shards")
+    written = ordered.mapInArrow(shards, _SHARD_DDL).write
+    written.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{out}/shards")
     sizes = spark.read.schema(_SHARD_DDL).parquet(f"{out}/shards").select("range", "seq", "first", "n_ids")
     total = running_totals(sizes, F.col("range"), ["seq"], {"n_ids": "total"})
     before = total.select("range", "seq", "first", (F.col("total") - F.col("n_ids")).alias("start"))
