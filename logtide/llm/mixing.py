@@ -15,8 +15,9 @@ from logtide.sources.storage import settled
 MAX_EPOCHS = 3
 #: Weights by a source's place in the order of sources, repeating.
 WEIGHTS = (1, 2, 3)
-#: Hex digits of the sampling key by which sizes are summed before rows are ranked.
-BUCKET_DIGITS = 4
+#: Hex digits of the sampling key by which sizes are summed, one after the other,
+#: before the rows of one bucket are ranked.
+BUCKET_DIGITS = (3, 6)
 
 # Sums of words times weights may pass 64 bits.
 _WIDE = "decimal(38,0)"
@@ -63,6 +64,35 @@ def water_level(sources: DataFrame, epochs: int) -> tuple[int, Fraction]:
         level = risen
 
 
+def _in_buckets(rows: DataFrame, buckets: DataFrame, digits: int) -> DataFrame:
+    """The rows whose place begins as the bucket of their source."""
+    buckets = buckets.select(F.col("source").alias("of"), "bucket", "before", "rest")
+    same = F.substring("place", 1, digits) == F.col("bucket")
+    return rows.join(buckets, same & F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
+def _cut_buckets(rows: DataFrame, outer: DataFrame, digits: int, unit: int) -> DataFrame:
+    """``(source, rest, bucket, before)``: where the words of the places pass what is needed.
+
+    Places are summed by their first digits inside the ``outer`` bucket of their
+    source; a source has 16 buckets for each digit more, so few rows meet.
+    """
+    outer_digits = BUCKET_DIGITS[BUCKET_DIGITS.index(digits) - 1] if digits != BUCKET_DIGITS[0] else 0
+    bucket = F.substring("place", 1, digits)
+    if outer_digits:
+        rows = _in_buckets(rows, outer, outer_digits).drop("bucket", "before", "rest")
+    sums = rows.groupBy("source", bucket.alias("inner")).agg(F.sum("size").alias("words"))
+    sums = sums.withColumnRenamed("source", "of")
+    so_far = Window.partitionBy("source").orderBy("inner")
+    ranked = sums.join(outer, F.col("of").eqNullSafe(F.col("source"))).withColumn(
+        "reach", F.col("before") + F.sum("words").over(so_far)
+    )
+    start = F.col("reach") - F.col("words")
+    return ranked.where(
+        (_wide(F.col("reach")) * _wide(unit) > F.col("rest")) & (_wide(start) * _wide(unit) <= F.col("rest"))
+    ).select("source", "rest", F.col("inner").alias("bucket"), start.alias("before"))
+
+
 def plan_mix(
     docs: DataFrame,
     seed: int,
@@ -139,31 +169,14 @@ def plan_mix(
         )
     )
 
-    bucket = F.substring("place", 1, BUCKET_DIGITS)
-    sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    so_far = Window.partitionBy("source").orderBy("bucket")
-    reach = F.sum("words").over(so_far)
-    sums = sums.select("source", "bucket", "words", reach.alias("reach")).alias("s")
-    same = F.col("s.source").eqNullSafe(F.col("t.source"))
-    # The bucket in which the words of the places so far pass what is needed.
-    cut_buckets = (
-        sums.join(targets.alias("t"), same)
-        .where(
-            (_wide(F.col("reach")) * _wide(unit) > F.col("rest"))
-            & (_wide(F.col("reach") - F.col("words")) * _wide(unit) <= F.col("rest"))
-        )
-        .select("t.source", "bucket", (F.col("reach") - F.col("words")).alias("before"), "rest")
+    cut_buckets = targets.select(
+        "source", "rest", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("before")
     )
-    cut_buckets = settled(spark, cut_buckets, "mix-buckets")
+    for digits in BUCKET_DIGITS:
+        cut_buckets = settled(spark, _cut_buckets(rows, cut_buckets, digits, unit), "mix-buckets")
     near = (
-        rows.withColumn("bucket", bucket)
-        .alias("r")
-        .join(
-            cut_buckets.alias("b"),
-            (F.col("r.bucket") == F.col("b.bucket"))
-            & F.col("r.source").eqNullSafe(F.col("b.source")),
-        )
-        .groupBy("b.source", "b.bucket", "place", "before", "rest")
+        _in_buckets(rows, cut_buckets, BUCKET_DIGITS[-1])
+        .groupBy("source", "place", "before", "rest")
         .agg(F.sum("size").alias("words"))
     )
     up_to = Window.partitionBy("source").orderBy("place")
