@@ -9,7 +9,7 @@ fingerprint of one with every one of the other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -36,28 +36,39 @@ _QUARTERS = 4
 _COUNTS = 17  # bits set in a quarter: 0 to 16
 
 
-def fingerprint(text: str) -> int:
-    """The 64 bits that are set in over half of the shingles' hashes, as a signed integer.
+def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles as rows of 8 bytes, block by block.
 
-    A text of fewer words than a shingle has is one shingle, and a text without
-    words has the fingerprint 0. Long texts are hashed block by block.
+    Fewer words than a shingle has are one shingle; no words give none.
     """
-    # Bytes are put in lower case, and split, as ASCII.
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    width = min(SHINGLE_WORDS, len(words))
-    total = len(words) - width + 1
+    width = min(width, len(words))
+    total = len(words) - width + 1 if words else 0
     digest = xxhash.xxh64_digest
-    set_in = np.zeros(64, dtype=np.int64)
     for start in range(0, total, BLOCK):
         own = words[start : start + BLOCK + width - 1]
         shingles = map(b" ".join, zip(*(own[i:] for i in range(width)), strict=False))
-        hashes = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), dtype=np.uint8)
-        set_in += np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The 64 bits that are set in over half of the hashes, as a signed integer."""
+    total, set_in = 0, np.zeros(64, dtype=np.int64)
+    for hashes in blocks:
+        total += len(hashes)
+        set_in += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(set_in * 2 > total).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str) -> int:
+    """The 64 bits that are set in over half of the shingles' hashes, as a signed integer.
+
+    A text of fewer words than a shingle has is one shingle, and a text without
+    words has the fingerprint 0. Long texts are hashed block by block.
+    """
+    # Bytes are put in lower case, and split, as ASCII.
+    return majority(shingle_hashes(text.encode().lower().split(), SHINGLE_WORDS))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, bits)`` of every row; a null text counts as empty."""
     ship_package(docs.sparkSession)
