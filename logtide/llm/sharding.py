@@ -189,20 +189,55 @@ def _resolved(
         totals.look(totals.undecided(least, most))
 
 
-def even_cuts(totals: RunningTotals, shards: int, capacity: int) -> list[int]:
-    """Ends of the shards: none above the capacity, and each near an equal share of the rest."""
+def _share(left: int, shards: int, sizes: list[int]) -> float:
+    """An equal share of what is left, when groups above it (sizes descending) have shards of their own."""
+    for size in sizes:
+        if shards == 1 or size * shards <= left:
+            break
+        left, shards = left - size, shards - 1
+    return left / shards
+
+
+def even_cuts(
+    totals: RunningTotals, shards: int, capacity: int, large: list[tuple[int, int]] | None = None
+) -> list[int]:
+    """Ends of the shards: none above the capacity, and each near an equal share of the rest.
+
+    ``large`` has ``(size, running total)`` of the largest groups, as many as
+    there are shards, descending. A shard takes a group at least while there are
+    any, so none before the last group's is empty. Looks at the table until the
+    places next to every ideal one are known.
+    """
     latest = _resolved(totals, greedy_cuts, shards, capacity)
     earliest = _resolved(totals, _reverse_cuts, shards, capacity)
-    cuts, at = [], 0
-    for number in range(shards):
-        low = max(at, earliest[number])
-        high = min(latest[number], max(low, totals.floor(at + capacity)[0]))
-        ideal = at + (totals.total - at) / (shards - number)
-        place = bisect_left(totals.known, ideal)
-        near = [low, high, *totals.known[max(0, place - 1) : place + 1]]
-        at = min((p for p in near if low <= p <= high), key=lambda p: (abs(p - ideal), p))
-        cuts.append(at)
-    return cuts
+    while True:
+        cuts, at, least, most = [], 0, [], []
+
+        def around(place: int, least: list[int] = least, most: list[int] = most) -> tuple[int, int]:
+            # The totals not above the place and above it, as far as they are known.
+            above = min(place + 1, totals.total)
+            under, over = totals.floor(place), totals.ceil(above)
+            if under[0] != under[1] or over[0] != over[1]:
+                least.append(place)
+                most.append(above)
+            return under[0], over[1]
+
+        for number in range(shards):
+            if at < totals.total:
+                low = max(around(at)[1], earliest[number])
+                high = min(latest[number], max(low, around(min(at + capacity, totals.total))[0]))
+                sizes = [size for size, end in large or [] if end > at]
+                share = _share(totals.total - at, shards - number, sizes)
+                # Up to the next group above the share, whole shards of one size.
+                run = min([end - size - at for size, end in large or [] if end > at and size > share], default=0)
+                ideal = at + (run / max(1, round(run / share)) if run > 0 else share)
+                near = [low, high, *around(int(ideal))]
+                near = [p for p in near if low <= p <= high] or [high]
+                at = min(near, key=lambda p: (abs(p - ideal), p))
+            cuts.append(at)
+        if not least:
+            return cuts
+        totals.look(totals.undecided(least, most))
 
 
 def shard_documents(
@@ -254,7 +289,8 @@ def shard_documents(
     size = groups.agg(F.max("total").alias("total"), F.max("group_size").alias("largest")).first()
     totals = RunningTotals(table, size["total"], blocks)
     capacity = smallest_capacity(totals, shards, size["largest"])
-    cuts = even_cuts(totals, shards, capacity)
+    largest = groups.orderBy(F.desc("group_size"), "total").select("group_size", "total").limit(shards)
+    cuts = even_cuts(totals, shards, capacity, [tuple(row) for row in largest.collect()])
 
     # A group belongs to the first shard that ends at its running total or behind it.
     bounds = F.lit(cuts[:-1] or [size["total"]])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from itertools import accumulate
 
 import pytest
 
@@ -99,3 +100,44 @@ def test_no_rows(spark):
 def test_plan_is_native(spark):
     plan = sharding.shard_documents(edges.documents(spark), 3)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+class _Known(sharding.RunningTotals):
+    """Totals that a list knows instead of a table; a look shows a few in each region."""
+
+    def look(self, regions):
+        points = dict(zip(self.known, [*self.hidden, False], strict=True))
+        for low, high in regions:
+            inside = [t for t in self.table if low <= t <= high]
+            gaps = sum(low <= p < high for p in points)
+            shown = sorted({low, high, *inside[:: max(1, len(inside) // (8 + 2 * gaps))]})
+            for at, after in zip(shown, shown[1:], strict=False):
+                points[at] = sum(at < t < after for t in inside) > 0
+        self.known = sorted(points)
+        self.hidden = [points[p] for p in self.known[:-1]]
+
+
+def _held(sizes: list[int], shards: int, blocks: int) -> list[int]:
+    ends = list(accumulate(sizes))
+    totals = _Known(ends, ends[-1], blocks)
+    capacity = sharding.smallest_capacity(totals, shards, max(sizes))
+    large = sorted(zip(sizes, ends, strict=True), reverse=True)[:shards]
+    cuts = sharding.even_cuts(totals, shards, capacity, large)
+    assert set(cuts) <= set(ends) and cuts[-1] == ends[-1]
+    return [b - a for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
+@pytest.mark.parametrize("share", [0.1, 1 / 3])
+@pytest.mark.parametrize("place", [0, 0.1, 0.5, 0.9, 1])
+def test_a_hot_group_leaves_no_shard_empty(share, place):
+    sizes = [1000] * 4000
+    hot = int(4_000_000 * share / (1 - share))
+    sizes.insert(int(4000 * place), hot)
+    held = sorted(_held(sizes, 40, 8))
+    assert held[-1] == hot
+    # The other shards are near a 39th of the rest.
+    assert 0.5 * 4_000_000 / 39 < held[0] and held[-2] < 1.5 * 4_000_000 / 39
+
+
+def test_cuts_are_next_to_the_ideal_places():
+    assert max(_held([1000] * 4000, 40, 4)) == 100_000 == min(_held([1000] * 4000, 40, 4))
