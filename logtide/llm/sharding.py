@@ -278,11 +278,11 @@ def shard_documents(
         return _result(rows.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0)), key)
 
     groups = rows.groupBy("digest").agg(
-        F.min("place").alias("first"), F.sum("size").alias("group_size")
+        F.min("place").alias("first"), F.min("size").alias("text_size"), F.sum("size").alias("group_size")
     )
     groups = settled(spark, groups, "shard-sums")
     groups = running_totals(
-        groups, range_number(F.col("first"), starts), ["first", "digest"], {"group_size": "total"}
+        groups, range_number(F.col("first"), starts), ["first", "text_size", "digest"], {"group_size": "total"}
     )
     groups = settled(spark, groups.sortWithinPartitions("total"), "shard-groups")
     table = groups.select("total")
