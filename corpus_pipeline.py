@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, mixing, near_copies, quality
+from logtide.llm import bpe, mixing, quality, simhash
 from logtide.llm.common import sort_key
 from logtide.llm.queries import MIX_SEED, QUALITY_SEED
-from logtide.sources.storage import settled
+from logtide.sources.storage import fresh_folder, removed_scratch
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,17 +25,17 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest ``doc_id``.
 
-    Near-duplicates have a Jaccard similarity of at least 0.8 in their shingles
-    of five words; ``op5_simhash`` has other parameters.
-    Of rows with equal ``doc_id`` the one with the smallest checksum stays, and
-    of wholly equal rows one. Null keys come last. Texts without words are one
-    group. Documents meet the list of those that stay on their key; all rows of
-    a group never meet in one task.
+    Near-duplicates are those of ``op5_simhash``: fingerprints of three-word
+    shingles, linked at two or fewer differing bits. Of rows with equal
+    ``doc_id`` the one with the smallest checksum stays, and of wholly equal
+    rows one. Null keys come last. Texts without words are one group. Documents
+    meet the list of those that stay on their key; all rows of a group never
+    meet in one task.
     """
     row = F.xxhash64(*[F.col(c) for c in sorted(docs.columns)])
     # Null keys last, then the key, then the row's checksum.
     name = F.struct(F.col("doc_id").isNull().alias("_none"), sort_key("doc_id").alias("_key"), row.alias("_row"))
-    groups = near_copies.near_copies(docs.select(name.alias("name"), "text"), key="name")
+    groups = simhash.near_duplicates(docs.select(name.alias("name"), "text"), key="name")
     kept = groups.where(F.col("name") == F.col("component_id")).select("name.*").distinct()
     named = docs.withColumns({"_none": F.col("doc_id").isNull(), "_key": sort_key("doc_id"), "_row": row})
     keys = ["_key", "_row", "_none"]
@@ -73,8 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again for the next."""
+    """All stages over ``documents``, each written and read again for the next.
+
+    What a stage keeps in scratch space while it works goes when its rows are
+    written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settled(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = fresh_folder(spark, name.replace(" ", "-"))
+        with removed_scratch(spark):
+            after = stage(spark, docs, sf_dir)
+            after.write.parquet(kept)
+        docs = spark.read.schema(after.schema).parquet(kept)
     return STAGES[-1][1](spark, docs, sf_dir)
