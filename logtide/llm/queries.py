@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, license_scan, mixing, quality, sharding, simhash, spotsigs, token_counts, token_files, topk
+from logtide.llm import (
+    bpe,
+    license_scan,
+    mixing,
+    quality,
+    quality_rules,
+    sharding,
+    simhash,
+    spotsigs,
+    token_counts,
+    token_files,
+    topk,
+)
 from logtide.sources.storage import fresh_folder
 
 #: Tokens a document may have before it is marked as over the limit.
@@ -89,6 +101,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, out)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition counts of every document, and how far it is from prose of its language."""
+    return quality_rules.apply_rules(_documents(spark, sf_dir))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -100,6 +117,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 
