@@ -176,6 +176,51 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols
 FROM counted LEFT JOIN nearest USING (rid)
 """
 
+#: Every kept term beside every pair of sources; for small tables.
+SOURCE_AUDIT = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                        'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+words AS (SELECT rid, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (
+    SELECT lang, source, term, CAST(coalesce(n, 0) AS HUGEINT) AS n
+    FROM groups JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)),
+of_group AS (
+    SELECT lang, source, term, n,
+           1 + 1000000000 * (n + 1) // (sum(n) OVER own + count(*) OVER own) AS p
+    FROM cells WINDOW own AS (PARTITION BY lang, source)),
+of_lang AS (
+    SELECT lang, term, 1 + 1000000000 * (n + 1) // (sum(n) OVER own + count(*) OVER own) AS q
+    FROM (SELECT lang, term, sum(n) AS n FROM cells GROUP BY lang, term) WINDOW own AS (PARTITION BY lang)),
+pairs AS (
+    SELECT g.lang, g.source, h.source AS item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0) AS value
+    FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN of_group a ON a.lang = g.lang AND a.source = g.source
+    LEFT JOIN of_group b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term
+    WHERE a.term IS NULL OR b.term IS NOT NULL
+    GROUP BY g.lang, g.source, h.source),
+found AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q
+    FROM of_group JOIN of_lang USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": SOURCE_MIX, "op6_top_k": TOP_K, "op11_quality_rules": QUALITY_RULES}
+    return {
+        "op4_source_mix": SOURCE_MIX,
+        "op6_top_k": TOP_K,
+        "op11_quality_rules": QUALITY_RULES,
+        "op13_source_audit": SOURCE_AUDIT,
+    }

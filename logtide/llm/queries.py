@@ -17,6 +17,7 @@ from logtide.llm import (
     quality_rules,
     sharding,
     simhash,
+    source_audit,
     spotsigs,
     token_counts,
     token_files,
@@ -113,6 +114,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(_documents(spark, sf_dir), path_a, path_b)
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are from each other, and their own words."""
+    return source_audit.audit_sources(_documents(spark, sf_dir))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -126,6 +132,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_quality_rules": op11_quality_rules,
     "op12_token_alignment": op12_token_alignment,
+    "op13_source_audit": op13_source_audit,
 }
 
 
