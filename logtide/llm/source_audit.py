@@ -33,7 +33,7 @@ ADDED = 1
 #: Terms a source is told by.
 TOP_TERMS = 200
 #: Counts (terms times sources) of a block, about.
-BLOCK_CELLS = 1 << 21
+BLOCK_CELLS = 1 << 18
 #: Terms and indicator columns of a product at most; sources that meet in one.
 PRODUCT_TERMS = 8_192
 PRODUCT_COLUMNS = 1_024
