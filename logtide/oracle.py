@@ -310,6 +310,24 @@ UNION ALL SELECT 'data_quality', domain, month, name, CAST(value AS DOUBLE) FROM
     FROM monthly CROSS JOIN span LEFT JOIN quality USING (domain, month))"""
 )
 
+# Totals of the last year of the log and its months, and the visitors of its pages.
+_YEAR_FIGURES = (
+    _TRAFFIC.format(key="month").replace("counted", "month_counts").replace("traffic", "by_month")
+    + _TRAFFIC.format(key="year").replace("counted", "year_counts").replace("traffic", "by_year")
+    + _PAGES.format(key="year")
+    + """,
+totals AS (
+  SELECT 'month_totals' AS report, domain, month AS period, hits, visitors, bot_hits, bot_visitors
+  FROM by_month
+  UNION ALL SELECT 'year_totals', domain, CAST(year AS VARCHAR), hits, visitors, bot_hits, bot_visitors
+  FROM by_year)
+SELECT report, domain, period, unnest(['hits', 'visitors', 'bot_hits', 'bot_visitors']) AS name,
+       unnest([hits, visitors, bot_hits, bot_visitors]) AS value
+FROM totals CROSS JOIN bounds WHERE period[1:4] = strftime(last_dt, '%Y')
+UNION ALL SELECT 'year_pages', domain, CAST(p.year AS VARCHAR), path, visitors
+FROM page_totals p CROSS JOIN bounds WHERE p.year = year(last_dt)"""
+)
+
 _KEY = (
     "date || chr(1) || sc_status || chr(1) || cs_method || chr(1) || coalesce(cs_uri_stem, '') "
     "|| chr(1) || time"
@@ -422,6 +440,7 @@ def oracle_sql() -> dict[str, str]:
               CAST(sum(CASE WHEN done THEN 0 ELSE n END) AS BIGINT) AS rows
               FROM compaction_days GROUP BY domain""",
         "published_reports": _LOG + _PUBLISHED,
+        "one_day_changed_reports": _LOG + _YEAR_FIGURES,
         "sitemap_entries": "SELECT url AS loc FROM pages",
         "compaction_summary": _LOG
         + _LOG_DAYS

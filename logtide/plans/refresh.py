@@ -18,7 +18,7 @@ from logtide.functions.requests import BotMap
 from logtide.operators import rollups
 from logtide.operators.requests import classify
 from logtide.plans.reports import day_metrics
-from logtide.plans.state import read_state, write_state
+from logtide.plans.state import read_state, state_version, write_state
 from logtide.plans.tables import write_partitioned
 from logtide.schema import (
     COMPACT_SORT_KEYS,
@@ -132,22 +132,39 @@ def _held_days(spark: SparkSession, table: str, days: DataFrame) -> DataFrame:
 
 
 def _in_state(
-    state: DataFrame, days: DataFrame, listing: DataFrame | None, as_of: DateLike
+    state: DataFrame, days: DataFrame, listing: DataFrame | None, as_of: DateLike, number: int
 ) -> DataFrame:
-    """The state with these days pending, made from the files of the listing."""
-    fresh = days.select(*DAY_KEYS)
+    """The state with these days pending, made from the files of the listing.
+
+    A day that is read again only because it is, or was, not over keeps its
+    revision if its files are those it was made from; any other gets ``number``.
+    """
+    fresh = days.select(*DAY_KEYS, *[c for c in ["reason"] if c in days.columns])
     if listing is not None:
         fresh = fresh.join(listing.select(*DAY_KEYS, *_SOURCE), DAY_KEYS, "left")
     types = {f.name: f.dataType for f in state.schema.fields}
-    fresh = fresh.withColumns(
-        {c: F.lit(None).cast(types[c]) for c in _SOURCE if c not in fresh.columns}
-        | {
+    fresh = fresh.withColumns({c: F.lit(None).cast(types[c]) for c in _SOURCE if c not in fresh.columns})
+    same = F.lit(False)
+    if listing is not None and "reason" in fresh.columns:
+        same = F.col("reason").isin("today", "part_day") & ~F.col("was_pending")
+        for column in _SOURCE:
+            same = same & F.col(column).eqNullSafe(F.col(f"old_{column}"))
+    before = state.select(
+        *DAY_KEYS,
+        F.col("revision").alias("old_revision"),
+        F.col("pending").alias("was_pending"),
+        *[F.col(c).alias(f"old_{c}") for c in _SOURCE],
+    )
+    fresh = fresh.join(before, DAY_KEYS, "left").withColumns(
+        {
             "synced_on": date_column(as_of),
             "has_visitors": F.lit(False),
             "pending": F.lit(True),
+            "revision": F.when(same, F.col("old_revision")).otherwise(F.lit(number).cast("long")),
         }
     )
-    return state.join(days.select(*DAY_KEYS), DAY_KEYS, "left_anti").unionByName(fresh)
+    others = state.join(days.select(*DAY_KEYS), DAY_KEYS, "left_anti")
+    return others.unionByName(fresh.select(*state.columns))
 
 
 def mark_pending(
@@ -158,9 +175,8 @@ def mark_pending(
     listing: DataFrame | None = None,
 ) -> None:
     """Note that a run on these days has begun; until it ends they are planned again."""
-    # The state is read from the folder that is written next to.
-    state = settled(spark, _in_state(read_state(spark, root), days, listing, as_of), "state")
-    write_state(spark, root, state)
+    number = state_version(spark, root) + 1
+    write_state(spark, root, _in_state(read_state(spark, root), days, listing, as_of, number))
 
 
 def mark_done(spark: SparkSession, days: DataFrame, root: str) -> None:
@@ -177,7 +193,7 @@ def mark_done(spark: SparkSession, days: DataFrame, root: str) -> None:
             F.when(F.col("own"), F.col("visited").isNotNull()).otherwise(F.col("has_visitors")),
         )
     )
-    write_state(spark, root, settled(spark, state, "state"))
+    write_state(spark, root, state)
 
 
 def _planned_rows(log: Log, plan: DataFrame, days: set[tuple[str, date]]) -> DataFrame:

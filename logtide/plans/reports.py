@@ -203,6 +203,19 @@ def base_tables(table: DataFrame, visitor_table: DataFrame | None, grain: str) -
     }
 
 
+def year_tables(months: dict[str, DataFrame], visitor_table: DataFrame | None) -> dict[str, DataFrame]:
+    """Year rollups from the rollups of its months; only visitors are counted anew."""
+    first = F.to_date(F.concat("month", F.lit("-01")))
+    rows = {name: table.withColumn("dt", first) for name, table in months.items()}
+    return {
+        "year_totals": rollups.stored_traffic(rows["month_totals"], "year", visitor_table),
+        "year_pages": rollups.pages(rows["month_pages"], "year"),
+        "year_bots": rollups.bots(rows["month_bots"], "year"),
+        "year_crawled_paths": rollups.crawled_paths(rows["month_crawled_paths"], "year"),
+        "year_referers": rollups.referers(rows["month_referers"], "year"),
+    }
+
+
 def derived_tables(base: dict[str, DataFrame], grain: str) -> dict[str, DataFrame]:
     """Headline figures and ranked lists from the rollups of a period."""
     traffic, pages = base[f"{grain}_totals"], base[f"{grain}_pages"]
@@ -276,7 +289,7 @@ def gap_tables(table: DataFrame, sitemap: DataFrame, days: DataFrame) -> dict[st
 
 def period_key(report: DataFrame) -> str:
     """The column a published report is partitioned by, beside the site."""
-    return "month" if {"month", "dt"} & set(report.columns) else "year"
+    return "year" if "year" in report.columns else "month"
 
 
 def _publish_one(report: DataFrame, path: str) -> None:
@@ -285,8 +298,8 @@ def _publish_one(report: DataFrame, path: str) -> None:
         report = report.withColumn("month", period_label(F.col("dt"), "month"))
     order = [
         F.desc(c) if c == "hits" else F.asc(c)
-        for c in ("dt", "rank", "hour", "pos", "hits", "path", "bot_name", "referer")
-        if c in report.columns
+        for c in ("month", "dt", "rank", "hour", "pos", "hits", "path", "bot_name", "referer")
+        if c in report.columns and c != key
     ]
     write_partitioned(report, path, ["domain", key], order)
 

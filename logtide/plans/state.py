@@ -1,7 +1,8 @@
-"""The state of a refresh: one row per site and day, in numbered versions.
+"""Small tables in numbered versions, and the state of a refresh, which is one.
 
 A version is written whole and counts once it is complete, so a run that ends
-early leaves the version before it in force.
+early leaves the version before it in force. The state has one row per site and
+day.
 """
 
 from __future__ import annotations
@@ -9,40 +10,53 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from logtide.schema import STATE_SCHEMA
-from logtide.sources.storage import drop_partitions, glob_folders, path_exists
+from logtide.sources.storage import drop_partitions, glob_folders, path_exists, settled
 
 STATE = "sync_state"
 
 
-def _versions(spark: SparkSession, root: str) -> dict[int, str]:
+def _versions(spark: SparkSession, folder: str) -> dict[int, str]:
     """The complete versions and their folders."""
     found = {}
-    for folder in glob_folders(spark, f"{root}/{STATE}/version=*"):
-        number = re.search(r"version=(\d+)$", folder)
-        if number and path_exists(spark, f"{folder}/_SUCCESS"):
-            found[int(number[1])] = folder
+    for version in glob_folders(spark, f"{folder}/version=*"):
+        number = re.search(r"version=(\d+)$", version)
+        if number and path_exists(spark, f"{version}/_SUCCESS"):
+            found[int(number[1])] = version
     return found
 
 
+def read_version(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The version in force; without one, a table without rows."""
+    versions = _versions(spark, folder)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(versions[max(versions)])
+
+
+def write_version(spark: SparkSession, folder: str, rows: DataFrame, schema: StructType) -> None:
+    """Put a new version in force. The one before stays until the next is complete.
+
+    ``rows`` may be made from the version in force.
+    """
+    older = _versions(spark, folder)
+    number = max(older, default=0) + 1
+    rows = settled(spark, rows.select(*[f.name for f in schema.fields]), "version")
+    # A number left by a run that ended early is overwritten.
+    rows.hint("rebalance").write.mode("overwrite").parquet(f"{folder}/version={number}")
+    drop_partitions(spark, [version for n, version in older.items() if n < number - 1])
+
+
 def state_version(spark: SparkSession, root: str) -> int:
     """The version in force; 0 before the first refresh."""
-    return max(_versions(spark, root), default=0)
+    return max(_versions(spark, f"{root}/{STATE}"), default=0)
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame:
-    versions = _versions(spark, root)
-    if not versions:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(versions[max(versions)])
+    return read_version(spark, f"{root}/{STATE}", STATE_SCHEMA)
 
 
 def write_state(spark: SparkSession, root: str, state: DataFrame) -> None:
-    """Put a new version in force. The one before stays until the next is complete."""
-    older = _versions(spark, root)
-    number = max(older, default=0) + 1
-    rows = state.select(*[f.name for f in STATE_SCHEMA.fields])
-    # A number left by a run that ended early is overwritten.
-    rows.hint("rebalance").write.mode("overwrite").parquet(f"{root}/{STATE}/version={number}")
-    drop_partitions(spark, [folder for n, folder in older.items() if n < number - 1])
+    write_version(spark, f"{root}/{STATE}", state, STATE_SCHEMA)

@@ -115,7 +115,8 @@ DAY_METRICS_SCHEMA = StructType(
 )
 
 #: What is known of every day that was ever fetched: the files it came from, the
-#: day it was fetched on, and whether a run on it has not ended.
+#: day it was fetched on, whether a run on it has not ended, and the number of the
+#: state's version in which it was last made from other rows.
 STATE_SCHEMA = StructType(
     [
         *_day_fields,
@@ -126,5 +127,11 @@ STATE_SCHEMA = StructType(
         StructField("synced_on", DateType()),
         StructField("has_visitors", BooleanType()),
         StructField("pending", BooleanType()),
+        StructField("revision", LongType()),
     ]
 )
+
+#: What a published month or year of a site was made from.
+PERIOD_SCHEMA = StructType(
+    [StructField(c, StringType()) for c in ("domain", "grain", "period", "out", "stamp")]
+)

@@ -118,3 +118,47 @@ def test_arguments_are_checked(spark, sites, tmp_path):
     # A month that has not begun has nothing to report.
     run(spark, sites, tmp_path, month="2026-04", as_of=date(2026, 3, 2))
     assert not (tmp_path / "out").exists()
+
+
+def _files(tmp_path) -> dict[str, set[str]]:
+    """Published files by their partition, such as ``month_pages/domain=a.com/month=2026-03``."""
+    found: dict[str, set[str]] = {}
+    for file in (tmp_path / "out").rglob("*.parquet"):
+        found.setdefault(str(file.parent.relative_to(tmp_path / "out")), set()).add(file.name)
+    return found
+
+
+def test_one_changed_day_writes_one_month_and_one_year_of_one_site(spark, sites, tmp_path):
+    as_of = date(2026, 3, 20)
+    published = run(spark, sites, tmp_path, year="2026", as_of=as_of)
+    before = _files(tmp_path)
+    land(spark, tmp_path / "a.com/raw/2026/02/27/11", [row("2026-02-27", ip="1"), row("2026-02-27", ip="8")])
+    run(spark, sites, tmp_path, year="2026", as_of=as_of)
+    after = _files(tmp_path)
+    changed = {p.split("/", 1)[1] for p in before | after if before.get(p) != after.get(p)}
+    assert changed == {"domain=a.com/month=2026-02", "domain=a.com/year=2026"}
+    assert rows_of(published("year_totals"), "domain", "hits", "visitors") == [("a.com", 7, 4), ("b.com", 1, 1)]
+    assert rows_of(published("year_pages").where("path = '/'"), "domain", "hits", "visitors") == [
+        ("a.com", 5, 4),
+        ("b.com", 1, 1),
+    ]
+    shares = published("month_shares").where("domain = 'a.com' and month <= '2026-03'")
+    assert rows_of(shares, "month", "share_of_max") == [("2026-01", 0.0), ("2026-02", 100.0), ("2026-03", 75.0)]
+
+    # The same files again, and another day of the calendar: today's month and the year.
+    run(spark, sites, tmp_path, year="2026", as_of=as_of)
+    assert _files(tmp_path) == after
+    run(spark, sites, tmp_path, year="2026", as_of=date(2026, 3, 21))
+    later = _files(tmp_path)
+    changed = {p.split("/")[-1] for p in later if after.get(p) != later.get(p)}
+    assert changed == {"month=2026-03", "year=2026"}
+
+
+def test_a_new_sitemap_writes_the_months_of_its_site(spark, sites, tmp_path):
+    published = run(spark, sites, tmp_path, month="2026-03", as_of=date(2026, 3, 20))
+    before = _files(tmp_path)
+    (tmp_path / "s.xml").write_text("<urlset><url><loc>https://a.com/new</loc></url></urlset>")
+    run(spark, sites, tmp_path, month="2026-03", as_of=date(2026, 3, 20))
+    after = _files(tmp_path)
+    assert {p.split("/")[1] for p in after if after[p] != before.get(p)} == {"domain=a.com"}
+    assert rows_of(published("sitemap_gaps"), "loc") == [("https://a.com/new",)]
