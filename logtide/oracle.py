@@ -429,6 +429,7 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN done THEN 'exists' WHEN n = 0 THEN 'no_raw' ELSE 'compact' END AS action
               FROM compaction_days""",
         "compacted_log": _LOG + _NARROW,
+        "crashed_compaction_log": _LOG + _NARROW,
         "compacted_day_order": _LOG
         + f""" SELECT domain, dt, count(*) AS rows, min({_KEY}) AS first_key,
                max({_KEY}) AS last_key, CAST(0 AS BIGINT) AS overlapping_files
@@ -442,6 +443,12 @@ def oracle_sql() -> dict[str, str]:
         "published_reports": _LOG + _PUBLISHED,
         "one_day_changed_reports": _LOG + _YEAR_FIGURES,
         "sitemap_entries": "SELECT url AS loc FROM pages",
+        "sitemap_problems": """SELECT kind || '.example.com' AS domain, problem,
+              CASE WHEN kind = 'good' THEN n ELSE 0 END AS entries
+              FROM (SELECT count(*) AS n FROM pages)
+              CROSS JOIN (VALUES ('good', 'none'), ('cut', 'not_xml'), ('gone', 'no_entries'),
+                                 ('bare', 'no_location'), ('blank', 'empty'), ('missing', 'missing'))
+              AS kinds (kind, problem)""",
         "compaction_summary": _LOG
         + _LOG_DAYS
         + """ SELECT domain, dt, CASE WHEN done THEN 0 ELSE n END AS rows,

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from logtide.operators.calendars import site_days
 from logtide.plans.tables import write_ordered
 from logtide.schema import COMPACT_SORT_KEYS, COMPACT_WRITE_OPTIONS, DAY_KEYS, LOG_SCHEMA
+from logtide.sources import commits
+from logtide.sources.commits import partition_days, partition_files
 from logtide.sources.logs import (
     DayFolder,
     raw_day_folders,
@@ -21,7 +23,7 @@ from logtide.sources.logs import (
     read_raw,
 )
 from logtide.sources.lookups import Site, sites_table
-from logtide.sources.storage import partition_days, partition_files, settled
+from logtide.sources.storage import settled
 
 COMPACT = "compact"
 EXISTS = "exists"
@@ -31,19 +33,39 @@ NO_RAW_FILES = "no_raw"
 COLUMN_BYTES = 16
 
 
-def sort_and_write(log: DataFrame, table: str, size: int | None = None) -> None:
-    """Write days sorted by the compaction keys the log has.
-
-    A day's files follow each other in the order of the keys and do not
-    overlap, whatever the size of the day. ``size`` is that of the log in bytes,
-    from which the number of files follows; without it rows are counted.
-    """
+def write_days(log: DataFrame, table: str, size: int | None = None) -> None:
+    """Add the files of days sorted by the compaction keys the log has; none counts yet."""
     order = [c for c in COMPACT_SORT_KEYS if c in log.columns]
     if size is None:
         size = log.count() * len(log.columns) * COLUMN_BYTES
     write_ordered(log, table, DAY_KEYS, order, size, COMPACT_WRITE_OPTIONS)
 
 
+def sort_and_write(
+    log: DataFrame,
+    table: str,
+    size: int | None = None,
+    domains: Sequence[str] | None = None,
+    first: date | None = None,
+    last: date | None = None,
+) -> None:
+    """Write days sorted by the compaction keys the log has, in place of what they held.
+
+    A day's files follow each other in the order of the keys and do not
+    overlap, whatever the size of the day. ``size`` is that of the log in bytes,
+    from which the number of files follows; without it rows are counted. The
+    sites and range, if given, are all the log has, so that only their folders
+    are listed. Readers see the days as they were until all files are there,
+    and then as they are (``sources.commits``).
+    """
+    spark = log.sparkSession
+    commits.begin(spark, table)
+    span = (domains, first, last)
+    before = commits.present_files(spark, table, *span)
+    write_days(log, table, size)
+    commits.commit(spark, table, before, commits.present_files(spark, table, *span))
+
+
 def file_order(spark: SparkSession, table: str) -> DataFrame:
     """Per day: rows, first and last key, files, and how many begin before the one before ended.
 
@@ -173,7 +195,7 @@ def compact(
     plan = settled(spark, plan, "compaction-plan")
     size = plan.where(F.col("action") == COMPACT).agg(F.sum("raw_bytes")).first()[0]
     if size:
-        sort_and_write(read_raw(spark, todo), table, size)
+        sort_and_write(read_raw(spark, todo), table, size, [s.domain for s in sites], first, last)
     written = (
         partition_files(spark, table, [s.domain for s in sites], first, last)
         .groupBy(*DAY_KEYS)

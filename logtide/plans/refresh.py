@@ -27,12 +27,12 @@ from logtide.schema import (
     NARROW_COLUMNS,
     VISITOR_SCHEMA,
 )
+from logtide.sources.commits import partition_days
 from logtide.sources.logs import day_partitions, read_narrow
 from logtide.sources.storage import (
     broadcast_if_small,
     drop_partitions,
     glob_folders,
-    partition_days,
     partition_name,
     settled,
 )

@@ -7,30 +7,18 @@ day.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from logtide.schema import STATE_SCHEMA
-from logtide.sources.storage import drop_partitions, glob_folders, path_exists, settled
+from logtide.sources.storage import complete_versions, drop_partitions, settled
 
 STATE = "sync_state"
 
 
-def _versions(spark: SparkSession, folder: str) -> dict[int, str]:
-    """The complete versions and their folders."""
-    found = {}
-    for version in glob_folders(spark, f"{folder}/version=*"):
-        number = re.search(r"version=(\d+)$", version)
-        if number and path_exists(spark, f"{version}/_SUCCESS"):
-            found[int(number[1])] = version
-    return found
-
-
 def read_version(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """The version in force; without one, a table without rows."""
-    versions = _versions(spark, folder)
+    versions = complete_versions(spark, folder)
     if not versions:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(versions[max(versions)])
@@ -41,7 +29,7 @@ def write_version(spark: SparkSession, folder: str, rows: DataFrame, schema: Str
 
     ``rows`` may be made from the version in force.
     """
-    older = _versions(spark, folder)
+    older = complete_versions(spark, folder)
     number = max(older, default=0) + 1
     rows = settled(spark, rows.select(*[f.name for f in schema.fields]), "version")
     # A number left by a run that ended early is overwritten.
@@ -51,7 +39,7 @@ def write_version(spark: SparkSession, folder: str, rows: DataFrame, schema: Str
 
 def state_version(spark: SparkSession, root: str) -> int:
     """The version in force; 0 before the first refresh."""
-    return max(_versions(spark, f"{root}/{STATE}"), default=0)
+    return max(complete_versions(spark, f"{root}/{STATE}"), default=0)
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame:

@@ -50,7 +50,7 @@ def write_ordered(
     size: int,
     options: dict[str, str],
 ) -> None:
-    """Write a partitioned Parquet table whose files are disjoint ranges of the order.
+    """Add to a partitioned Parquet table files that are disjoint ranges of the order.
 
     Rows are dealt by ranges of the keys and the order, as many as ``size``
     (bytes) needs, so a partition of ordinary size is one file or two, and one
@@ -64,8 +64,7 @@ def write_ordered(
     (
         dealt.sortWithinPartitions(*keys, *order)
         .write.partitionBy(*keys)
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .mode("append")
         .options(**options)
         .parquet(path)
     )

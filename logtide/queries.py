@@ -22,10 +22,11 @@ from logtide.schema import (
     TOP_PAGES,
     TOP_REFERERS,
 )
+from logtide.sources import commits
 from logtide.sources.event_log import BOTS, SITES, access_log, sitemap
 from logtide.sources.logs import LogSource, read_narrow
 from logtide.sources.lookups import Site, bots_table, select_sites, sites_table
-from logtide.sources.sitemaps import read_sitemaps
+from logtide.sources.sitemaps import read_sitemaps, sitemap_problems
 from logtide.sources.storage import fresh_folder, glob_files, mark
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,6 +247,16 @@ def _compacted(i: _Inputs) -> str:
     return table
 
 
+def _crashed_compaction_log(i: _Inputs) -> DataFrame:
+    """A run ended with some files written and none committed; the next compacts all days."""
+    table = fresh_folder(i.spark, "crashed")
+    first, last = i.bounds()
+    commits.begin(i.spark, table)
+    compaction.write_days(i.log.where(F.col("time") < "12:00:00"), table)
+    compaction.compact(i.spark, land_raw(i), table, first, last, as_of=last + timedelta(days=1))
+    return read_narrow(i.spark, table)
+
+
 def _compacted_day_order(i: _Inputs) -> DataFrame:
     """First and last key of every compacted day, and whether its files overlap."""
     return compaction.file_order(i.spark, _compacted(i)).drop("files")
@@ -352,6 +363,36 @@ def _sitemap_entries(i: _Inputs) -> DataFrame:
     return read_sitemaps(i.spark, sites).select("loc")
 
 
+def _sitemap_problems(i: _Inputs) -> DataFrame:
+    """The page URLs as sitemap files, whole and spoilt, and what is read of each kind."""
+    folder = fresh_folder(i.spark, "whole")
+    urls = i.spark.read.parquet(f"{i.sf_dir}/pages.parquet").select(F.col("url").alias("loc"))
+    urls.write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(folder)
+    text = F.col("value")
+    kinds = {
+        "good": text,
+        "cut": F.substring(text, F.lit(1), F.length(text) - 12),
+        "gone": F.lit("<html>gone</html>"),
+        "bare": F.regexp_replace(text, "<loc>[^<]*</loc>", "<x/>"),
+        "blank": F.lit(" "),
+    }
+    spoilt = fresh_folder(i.spark, "spoilt")
+    whole = i.spark.read.text(f"{folder}/part-*", wholetext=True)
+    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()]))
+    whole.select(kind.alias("of")).select("of.*").write.partitionBy("kind").text(spoilt)
+    sites = [
+        Site(f"{k}.example.com", None, file) for k in kinds for file in glob_files(i.spark, f"{spoilt}/kind={k}/part-*")
+    ]
+    sites.append(Site("missing.example.com", None, f"{spoilt}/none.xml"))
+    entries = read_sitemaps(i.spark, sites).groupBy("domain").agg(F.count("*").alias("entries"))
+    domains = sites_table(i.spark, sites).select("domain").distinct()
+    return (
+        domains.join(sitemap_problems(i.spark, sites).distinct(), "domain", "left")
+        .join(entries, "domain", "left")
+        .select("domain", F.coalesce("problem", F.lit("none")).alias("problem"), F.coalesce("entries", F.lit(0)).alias("entries"))
+    )
+
+
 def _available_years(i: _Inputs) -> DataFrame:
     root = fresh_folder(i.spark, "years")
     reports.publish({"year_totals": rollups.traffic(i.requests, "year")}, root)
@@ -437,11 +478,13 @@ _QUERIES: dict[str, Callable[[_Inputs], DataFrame]] = {
     "late_rows_month_totals": _late_rows_month_totals,
     "interrupted_refresh_totals": _interrupted_refresh_totals,
     "compacted_log": lambda i: read_narrow(i.spark, _compacted(i)),
+    "crashed_compaction_log": _crashed_compaction_log,
     "compacted_day_order": _compacted_day_order,
     "compaction_totals": _compaction_totals,
     "published_reports": _published_reports,
     "one_day_changed_reports": _one_day_changed_reports,
     "sitemap_entries": _sitemap_entries,
+    "sitemap_problems": _sitemap_problems,
     "compaction_summary": _compaction_summary,
     "available_years": _available_years,
 }

@@ -30,15 +30,15 @@ from logtide.schema import (
     NARROW_COLUMNS,
     NARROW_SCHEMA,
 )
+from logtide.sources.commits import partition_files, without_leftovers
 from logtide.sources.lookups import Site, local_table
 from logtide.sources.storage import (
     broadcast_if_small,
-    day_files,
     day_globs,
+    day_listing,
     file_uri,
     glob_folders,
     months_between,
-    partition_files,
     without_scheme,
 )
 
@@ -79,7 +79,8 @@ def read_narrow(
     The schema is fixed, so no footer is read to infer it and the scan takes
     only these columns of the file, however wide it is. Only folders of the
     sites and months asked for are listed. The size test prunes files that
-    cannot be Parquet before they are opened.
+    cannot be Parquet before they are opened, and files of a write that did not
+    end are left out.
     """
     known = isinstance(first, date) and isinstance(last, date)
     globs = day_globs(spark, table, domains, *((first, last) if known else ()))
@@ -87,6 +88,7 @@ def read_narrow(
         return spark.createDataFrame([], LOG_SCHEMA).select(*DAY_KEYS, *NARROW_COLUMNS)
     log = spark.read.schema(LOG_SCHEMA).option("basePath", table).parquet(*globs)
     log = log.where(F.col("_metadata.file_size") >= MIN_PARQUET_BYTES)
+    log = without_leftovers(log, table, domains, *((first, last) if known else ()))
     return day_partitions(log, first, last).select(*DAY_KEYS, *NARROW_COLUMNS)
 
 
@@ -271,7 +273,7 @@ class LogSource:
 
     def tiny_files(self) -> DataFrame:
         """``(domain, dt, files)``: files passed over because they cannot be Parquet."""
-        stored = day_files(self.spark, self.table, self.domains, self.first, self.last)
+        stored = day_listing(self.spark, self.table, self.domains, self.first, self.last)
         raw = raw_listing(self.spark, self.folders)
         files = stored.select(*DAY_KEYS, "length").unionByName(raw.select(*DAY_KEYS, "length"))
         tiny = files.where(F.col("length") < MIN_PARQUET_BYTES)

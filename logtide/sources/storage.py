@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -85,14 +86,29 @@ def months_between(first: date, last: date) -> list[tuple[int, int]]:
     return [(n // 12, n % 12 + 1) for n in span]
 
 
-def day_files(
+def complete_versions(spark: SparkSession, folder: str) -> dict[int, str]:
+    """The numbered versions of a small table that were written whole, and their folders."""
+    found = {}
+    for version in glob_folders(spark, f"{folder}/version=*"):
+        number = re.search(r"version=(\d+)$", version)
+        if number and path_exists(spark, f"{version}/_SUCCESS"):
+            found[int(number[1])] = version
+    return found
+
+
+def file_name(path: str) -> Column:
+    """The last part of a path."""
+    return F.substring_index(F.col(path), "/", -1)
+
+
+def day_listing(
     spark: SparkSession,
     table: str,
     domains: Sequence[str] | None = None,
     first: date | None = None,
     last: date | None = None,
 ) -> DataFrame:
-    """``(domain, dt, path, length, modified)`` of all files of a day-partitioned table.
+    """``(domain, dt, path, length, modified)`` of all files in a table's day folders.
 
     The listing is a Spark scan that never opens a file. A table, site or range
     without folders has no files. Files without a byte are not seen, as Spark
@@ -122,30 +138,6 @@ def day_files(
 _DAY_FILES = "domain string, dt date, path string, length bigint, modified timestamp"
 
 
-def partition_files(
-    spark: SparkSession,
-    table: str,
-    domains: Sequence[str] | None = None,
-    first: date | None = None,
-    last: date | None = None,
-) -> DataFrame:
-    """The files of a day-partitioned table that are large enough to be Parquet."""
-    return day_files(spark, table, domains, first, last).where(
-        F.col("length") >= MIN_PARQUET_BYTES
-    )
-
-
-def partition_days(
-    spark: SparkSession,
-    table: str,
-    domains: Sequence[str] | None = None,
-    first: date | None = None,
-    last: date | None = None,
-) -> DataFrame:
-    """``(domain, dt)`` of the days a table holds."""
-    return partition_files(spark, table, domains, first, last).select("domain", "dt").distinct()
-
-
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 

@@ -7,7 +7,8 @@ import logging
 from logtide.operators import calendars, gaps, rollups
 from logtide.plans import reports
 from logtide.sources.lookups import Site, sites_table
-from logtide.sources.sitemaps import read_sitemaps
+from logtide.operators import gaps
+from logtide.sources.sitemaps import read_sitemaps, sitemap_problems, unreadable_sitemaps
 from tests.logs import GOOGLE, requests, row, rows_of
 
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
@@ -109,3 +110,55 @@ def test_gaps_from_stored_day_figures(spark, tmp_path):
     direct = reports.gap_report(found, sitemap, days)
     assert rows_of(tables["sitemap_gaps"]) == rows_of(direct)
     assert rollups.crawler_hits(found).count() == 1
+
+
+def test_what_is_wrong_with_sitemaps(spark, tmp_path):
+    good = "<urlset><url><loc>https://e.com/</loc></url><url><loc>https://e.com/b</loc></url></urlset>"
+    texts = {
+        "good": good,
+        "cut": good[:-20],
+        "gone": "<html>gone</html>",
+        "tags": "<html><p>gone<br></html>",
+        "text": "not found",
+        "blank": " \n",
+        "zero": "",
+        "bare": "<urlset><url><loc>https://e.com/</loc></url><url><lastmod>x</lastmod></url></urlset>",
+        "none": "<urlset></urlset>",
+    }
+    sites = [Site(f"{name}.com", sitemap=str(tmp_path / f"{name}.xml")) for name in [*texts, "missing"]]
+    for name, text in texts.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    sites += [Site("two.com", sitemap=sites[0].sitemap), Site("without.com")]
+    assert dict(rows_of(sitemap_problems(spark, sites))) == {
+        "cut.com": "not_xml",
+        "gone.com": "no_entries",
+        "tags.com": "not_xml",
+        "text.com": "not_xml",
+        "blank.com": "empty",
+        "zero.com": "empty",
+        "bare.com": "no_location",
+        "none.com": "no_entries",
+        "missing.com": "missing",
+    }
+    assert rows_of(read_sitemaps(spark, sites).groupBy("domain").count()) == [("good.com", 2), ("two.com", 2)]
+    assert unreadable_sitemaps(spark, sites).count() == 9
+    assert rows_of(sitemap_problems(spark, [Site("without.com")])) == []
+
+
+def test_first_gaps_and_their_number_in_one_pass(spark):
+    rows = [("a.com", f"2026-{m:02d}", p, f"u{p}") for m, n in ((1, 3), (2, 500), (3, 15)) for p in range(n)]
+    rows += [("a.com", "2026-01", 1, "u1")]
+    frame = spark.createDataFrame(rows, "domain string, month string, pos long, loc string")
+    missing = frame.join(spark.createDataFrame([("none",)], "loc string"), "loc", "left_anti")
+    summary = gaps.gap_summary(missing, 15)
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1
+    found = {}
+    for r in summary.orderBy("month", "pos").collect():
+        found.setdefault(r.month, []).append((r.pos, r.more))
+    assert found == {
+        "2026-01": [(0, 0), (1, 0), (1, 0), (2, 0)],
+        "2026-02": [(p, 485) for p in range(15)],
+        "2026-03": [(p, 0) for p in range(15)],
+    }
+    assert gaps.gap_summary(missing.limit(0), 15).collect() == []

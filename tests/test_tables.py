@@ -13,14 +13,13 @@ from logtide.operators.requests import classify
 from logtide.plans import compaction, refresh, reports
 from logtide.schema import DAY_KEYS, NARROW_COLUMNS
 from logtide.sources import logs as log_source
+from logtide.sources.commits import partition_days, partition_files
 from logtide.sources.lookups import Site, select_sites, sites_table
 from logtide.sources import storage
 from logtide.sources.storage import (
     broadcast_if_small,
     drop_partitions,
     fresh_folder,
-    partition_days,
-    partition_files,
 )
 from tests.logs import BOTS, GOOGLE, log, row, rows_of
 
@@ -92,7 +91,7 @@ def test_row_groups_are_limited(spark, tmp_path):
     compaction.sort_and_write(rows, str(tmp_path / "compact"))
     groups = [
         parquet.metadata.row_group(i).num_rows
-        for file in (tmp_path / "compact").rglob("*.parquet")
+        for file in (tmp_path / "compact").rglob("dt=*/*.parquet")
         for parquet in [pq.ParquetFile(file)]
         for i in range(parquet.num_row_groups)
     ]
