@@ -10,20 +10,21 @@ lists nothing is one that other programs write; all its files count.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.schema import DAY_KEYS, MIN_PARQUET_BYTES
+from logtide.sources.lookups import local_table
 from logtide.sources.storage import (
     broadcast_if_small,
     complete_versions,
     day_listing,
     drop_partitions,
     file_name,
-    settled,
 )
 
 COMMITS = "_commits"
@@ -50,19 +51,28 @@ def committed_files(spark: SparkSession, table: str) -> DataFrame | None:
     return rows.join(last, [*DAY_KEYS, "version"]).select(*DAY_KEYS, "file")
 
 
+#: A file there is: its site, day and path.
+File = tuple[str, date, str]
+
+
 def _write(spark: SparkSession, table: str, files: DataFrame) -> None:
     number = max(complete_versions(spark, _folder(table)), default=-1) + 1
-    # Names of files of the days of one write: a small table.
     files.select(*DAY_KEYS, "file").coalesce(1).write.mode("overwrite").parquet(
         f"{_folder(table)}/version={number}"
     )
 
 
-def begin(spark: SparkSession, table: str) -> None:
-    """Start to list the files of a table, those it has to begin with."""
-    if not complete_versions(spark, _folder(table)):
-        present = day_listing(spark, table).where(F.col("length") >= MIN_PARQUET_BYTES)
-        _write(spark, table, settled(spark, present.withColumn("file", file_name("path")), "present"))
+def _named(spark: SparkSession, files: Iterable[File]) -> DataFrame:
+    """Files as rows; the names are those a listing holds on the driver anyway."""
+    rows = sorted(files)
+    return local_table(
+        spark,
+        {
+            "domain": ([domain for domain, _, _ in rows], pa.string()),
+            "dt": ([dt for _, dt, _ in rows], pa.date32()),
+            "file": ([path.rsplit("/", 1)[-1] for _, _, path in rows], pa.string()),
+        },
+    )
 
 
 def present_files(
@@ -71,13 +81,19 @@ def present_files(
     domains: Sequence[str] | None = None,
     first: date | None = None,
     last: date | None = None,
-) -> DataFrame:
-    """``(domain, dt, path, file)`` of all files there are, listed or not, as of now."""
+) -> set[File]:
+    """All files there are now, listed or not."""
     found = day_listing(spark, table, domains, first, last)
-    return settled(spark, found.select(*DAY_KEYS, "path", file_name("path").alias("file")), "present")
+    return {(r["domain"], r["dt"], r["path"]) for r in found.select(*DAY_KEYS, "path").collect()}
 
 
-def commit(spark: SparkSession, table: str, before: DataFrame, after: DataFrame) -> None:
+def begin(spark: SparkSession, table: str) -> None:
+    """Start to list the files of a table, those it has to begin with."""
+    if not complete_versions(spark, _folder(table)):
+        _write(spark, table, _named(spark, present_files(spark, table)))
+
+
+def commit(spark: SparkSession, table: str, before: set[File], after: set[File]) -> None:
     """Put the files that came between two looks at the table in force, day by day.
 
     For the days they are of, all earlier files are replaced: they count no more
@@ -85,13 +101,12 @@ def commit(spark: SparkSession, table: str, before: DataFrame, after: DataFrame)
     for readers; one that ends between the two leaves files nobody reads, which
     the next write of the day deletes.
     """
-    keys = [*DAY_KEYS, "file"]
-    new = settled(spark, after.join(before.select(*keys), keys, "left_anti"), "new-files")
-    if new.isEmpty():
+    new = after - before
+    if not new:
         return
-    _write(spark, table, new)
-    replaced = before.join(new.select(*DAY_KEYS).distinct(), DAY_KEYS, "left_semi")
-    drop_partitions(spark, [r["path"] for r in replaced.select("path").collect()])
+    _write(spark, table, _named(spark, new))
+    days = {(domain, dt) for domain, dt, _ in new}
+    drop_partitions(spark, [path for domain, dt, path in before if (domain, dt) in days])
     merge(spark, table)
 
 
@@ -99,7 +114,7 @@ def merge(spark: SparkSession, table: str, most: int = MOST_VERSIONS) -> None:
     """Make one version of many. The older ones go once it is complete."""
     older = complete_versions(spark, _folder(table))
     if len(older) > most:
-        _write(spark, table, settled(spark, committed_files(spark, table), "merged-files"))
+        _write(spark, table, committed_files(spark, table))
         drop_partitions(spark, older.values())
 
 
