@@ -31,7 +31,7 @@ def test_registered():
     names = set(entry_point.queries())
     assert set(queries.queries()) | {"pipeline"} <= names
     numbers = sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", oracle.oracle_sql())
