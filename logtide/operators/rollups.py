@@ -92,10 +92,16 @@ def period_visitors(visitor_table: DataFrame, grain: str) -> DataFrame:
     )
 
 
-def stored_traffic(daily: DataFrame, grain: str, visitor_table: DataFrame | None = None) -> DataFrame:
+def stored_traffic(
+    daily: DataFrame,
+    grain: str,
+    visitor_table: DataFrame | None = None,
+    exact: DataFrame | None = None,
+) -> DataFrame:
     """Month or year totals from the stored day table.
 
-    Visitors are exact where the visitor table covers the period. Without it
+    Visitors are exact where the visitor table covers the period, or the period
+    is among the ``exact`` figures (as ``period_visitors`` gives them). Else
     they fall back to the sum of the daily figures, which counts a returning
     visitor once a day.
     """
@@ -109,7 +115,9 @@ def stored_traffic(daily: DataFrame, grain: str, visitor_table: DataFrame | None
         F.sum("bot_hits").alias("bot_hits"),
         F.sum("bot_visitors").alias("summed_bot_visitors"),
     )
-    if visitor_table is None:
+    if exact is None and visitor_table is not None:
+        exact = period_visitors(visitor_table, grain)
+    if exact is None:
         return sums.select(
             "domain",
             key,
@@ -118,7 +126,6 @@ def stored_traffic(daily: DataFrame, grain: str, visitor_table: DataFrame | None
             "bot_hits",
             F.col("summed_bot_visitors").alias("bot_visitors"),
         )
-    exact = period_visitors(visitor_table, grain)
     return sums.join(exact, ["domain", key], "left").select(
         "domain",
         key,

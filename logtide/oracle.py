@@ -334,6 +334,12 @@ _KEY = (
 )
 
 
+_RANGE_VISITORS = """ SELECT domain, count(DISTINCT c_ip) AS visitors,
+              count(DISTINCT c_ip) FILTER (bot_name IS NOT NULL) AS bot_visitors
+              FROM hits CROSS JOIN bounds
+              WHERE dt BETWEEN first_dt + 5 AND last_dt - 5 GROUP BY domain"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "access_log_narrow": _LOG + _NARROW,
@@ -373,11 +379,9 @@ def oracle_sql() -> dict[str, str]:
         "day_panel": _LOG + _DAY_PANEL,
         "visitor_days": _LOG
         + " SELECT domain, dt, c_ip, bool_or(bot_name IS NOT NULL) AS is_bot FROM hits GROUP BY ALL",
-        "unique_visitors_range": _LOG
-        + """ SELECT domain, count(DISTINCT c_ip) AS visitors,
-              count(DISTINCT c_ip) FILTER (bot_name IS NOT NULL) AS bot_visitors
-              FROM hits CROSS JOIN bounds
-              WHERE dt BETWEEN first_dt + 5 AND last_dt - 5 GROUP BY domain""",
+        "unique_visitors_range": _LOG + _RANGE_VISITORS,
+        "bitmap_visitors_range": _LOG + _RANGE_VISITORS,
+        "bitmap_year_totals": _traffic("year", "hits, visitors, bot_hits, bot_visitors"),
         "month_totals": _traffic("month", "hits, visitors, bot_hits, bot_visitors"),
         "year_totals": _traffic("year", "hits, visitors, bot_hits, bot_visitors"),
         "monthly_traffic": _traffic("month", "hits, visitors"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logtide.functions.calendars import period_label
 from logtide.operators import calendars, gaps, rankings, rollups
 from logtide.operators import requests as req
-from logtide.plans import compaction, jobs, refresh, reports
+from logtide.plans import compaction, jobs, refresh, reports, visitor_sets
 from logtide.plans.state import read_state
 from logtide.schema import (
     DAY_KEYS,
@@ -92,6 +92,33 @@ def _unique_visitors_range(i: _Inputs) -> DataFrame:
     return rollups.range_visitors(refresh.read_visitors(i.spark, root, first, last), first, last)
 
 
+def _visitor_sets(i: _Inputs) -> tuple[str, date, date]:
+    """Bitmaps of all days, written in two runs, and the first and last day."""
+    root = fresh_folder(i.spark, "visitor-sets")
+    first, last = i.bounds()
+    rows = rollups.visitor_days(i.requests)
+    half = F.lit(first + (last - first) / 2)
+    for part in (F.col("dt") <= half, F.col("dt") > half):
+        visitor_sets.write_days(i.spark, root, rows.where(part))
+    return root, first, last
+
+
+def _bitmap_visitors_range(i: _Inputs) -> DataFrame:
+    """The same range, from the bitmaps of its days."""
+    root, first, last = _visitor_sets(i)
+    first, last = first + timedelta(days=5), last - timedelta(days=5)
+    return visitor_sets.range_visitors(visitor_sets.read_days(i.spark, root, first, last))
+
+
+def _bitmap_year_totals(i: _Inputs) -> DataFrame:
+    """Year totals with visitors from bitmaps: of days, of months, and of years from these."""
+    root, _, _ = _visitor_sets(i)
+    months = visitor_sets.merged(visitor_sets.read_days(i.spark, root), "month")
+    months = months.withColumn("dt", F.to_date(F.concat("month", F.lit("-01"))))
+    exact = visitor_sets.period_visitors(months, "year")
+    return rollups.stored_traffic(i.traffic("day"), "year", exact=exact)
+
+
 def _calendar_days(i: _Inputs) -> DataFrame:
     first, last = i.months
     starts = F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))
@@ -424,6 +451,8 @@ _QUERIES: dict[str, Callable[[_Inputs], DataFrame]] = {
     # visitors
     "visitor_days": _visitor_days,
     "unique_visitors_range": _unique_visitors_range,
+    "bitmap_visitors_range": _bitmap_visitors_range,
+    "bitmap_year_totals": _bitmap_year_totals,
     # months and years
     "month_totals": lambda i: i.traffic("month"),
     "year_totals": lambda i: i.traffic("year"),

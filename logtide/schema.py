@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
+    BinaryType,
     BooleanType,
     DateType,
     IntegerType,
@@ -98,6 +99,25 @@ VISITOR_SCHEMA = StructType(
     ]
 )
 
+#: The number of an address of a site, which it keeps.
+VISITOR_NUMBER_SCHEMA = StructType(
+    [
+        StructField("domain", StringType(), False),
+        StructField("c_ip", StringType(), False),
+        StructField("number", LongType(), False),
+    ]
+)
+
+#: The visitors of a day as bitmaps over their numbers, in blocks.
+VISITOR_SET_SCHEMA = StructType(
+    [
+        StructField("block", LongType(), False),
+        StructField("visitors", BinaryType(), False),
+        StructField("bots", BinaryType(), False),
+        *_day_fields,
+    ]
+)
+
 #: The stored figures of a day: one row per metric and its key (an hour, a path,
 #: a bot, a referer), all in one file per site and ordinary day.
 DAY_METRICS_SCHEMA = StructType(

@@ -96,6 +96,8 @@ WRITING = {
     "compaction_summary",
     "available_years",
     "unique_visitors_range",
+    "bitmap_visitors_range",
+    "bitmap_year_totals",
     "late_rows_month_totals",
     "interrupted_refresh_totals",
     "compacted_day_order",
