@@ -84,6 +84,31 @@ def test_scores_do_not_depend_on_the_batch(network):
     assert together == pytest.approx(alone, abs=1e-6)
 
 
+def _plain_score(network, text: str) -> float:
+    """A convolution filter by filter and place by place, then the strongest of all chunks."""
+    data, starts = text.encode(), [0]
+    while starts[-1] + quality.CHUNK < len(data):
+        starts.append(starts[-1] + quality.STRIDE)
+    best = np.zeros(quality.HIDDEN)
+    for start in starts:
+        chunk = data[start : start + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        strongest = np.full(quality.FILTERS, -np.inf)
+        for at in range(quality.CHUNK - quality.WIDTH + 1):
+            sums = sum(network.taps[i, chunk[at + i]].astype(float) for i in range(quality.WIDTH))
+            strongest = np.maximum(strongest, sums)
+        shown = np.maximum(strongest + network.bias, 0)
+        best = np.maximum(best, np.maximum(shown @ network.judge + network.judge_bias, 0))
+    return 1 / (1 + np.exp(-(best @ network.weigh + network.prior[0])))
+
+
+def test_scores_match_a_plain_convolution(tables, network):
+    texts = [r.text or "" for r in tables[0].orderBy("doc_id").limit(40).collect()]
+    ends = ["", "x", "é" * 128, "ab " * 100, "y" * (quality.CHUNK + quality.STRIDE), "z " * 4_000]
+    texts = [*ends, *(t for t in texts if len(t) < 8_000)]
+    found = quality.score_texts(network, pa.array(texts))
+    assert np.allclose(found, [_plain_score(network, t) for t in texts], atol=1e-4)
+
+
 def test_awkward_rows(spark, network):
     found = quality.classify(edges.documents(spark), network).collect()
     assert len(found) == len(edges.rows())
