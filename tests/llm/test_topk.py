@@ -82,3 +82,38 @@ def test_nothing_to_search(spark):
     assert _search(spark, []) == []
     assert _search(spark, [(0, [1.0], 0, "", "")]) == []
     assert _search(spark, [(1, [1.0], 0, "", ""), (2, [1.0], 0, "", "")]) == []
+
+
+def test_bounds_leave_most_pairs_of_clustered_vectors_out(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE_ROWS", 10)
+    monkeypatch.setattr(topk, "STEP_ROWS", 10)
+    draw = random.Random(3)
+    # Of one length, as the vectors of most models are.
+    centres = [_unit([draw.gauss(0, 1) for _ in range(16)]) for _ in range(16)]
+    rows = [
+        (i, [4 * x for x in _unit([c + draw.gauss(0, 0.03) for c in centres[i % 16]])], 0, "", "")
+        for i in range(640)
+    ]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    answers, work = topk.search(frame, frame.where("vec_id % 3 = 0"), 5, 64)
+    assert sorted(map(tuple, answers.collect())) == _expected(rows, lambda q: q % 3 == 0, 5)
+    pairs = {r["round"]: r["pairs"] for r in work.collect()}
+    assert set(pairs) <= {0, 1, 2}
+    assert sum(pairs.values()) < 0.25 * len(rows) * len(range(0, len(rows), 3))
+
+
+def _unit(vector):
+    length = math.sqrt(sum(x * x for x in vector))
+    return [x / length for x in vector]
+
+
+def test_a_query_of_another_table_may_be_longer_or_larger(spark):
+    rows = [(i, [float(i % 7), float(i % 3)], 0, "", "") for i in range(30)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    asked = spark.createDataFrame([(100, [1e9, 1.0, 5.0], 0, "", ""), (101, [0.25], 0, "", "")], SCHEMA)
+    found = sorted(map(tuple, topk.top_k(frame, asked, 4, 64).collect()))
+    expected = []
+    for q, vector in ((100, [64 * 10**9, 64, 320]), (101, [16, 0])):
+        scores = [(-sum(a * int(64 * b) for a, b in zip(vector, r[1])), r[0]) for r in rows]
+        expected += [(q, i + 1, c, -s) for i, (s, c) in enumerate(sorted(scores)[:4])]
+    assert found == expected
