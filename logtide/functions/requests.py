@@ -36,14 +36,13 @@ def bot_name(user_agent: Column, bots: BotMap) -> Column:
     return F.when(user_agent != "", name)
 
 
-def bot_name_from(user_agent: Column, bot_entries: Column) -> Column:
-    """As ``bot_name`` with the map as data.
-
-    ``bot_entries`` is an array of ``struct(priority, pattern, bot_name)`` in
-    priority order, so a map too long for a chain of conditions needs no join.
-    """
-    matches = F.filter(bot_entries, lambda b: user_agent.contains(b["pattern"]))
-    return F.when(user_agent != "", F.get(matches, F.lit(0))["bot_name"])
+def grams(text: Column, size: Column) -> Column:
+    """All substrings of ``size`` characters; ``''`` is the one of size 0."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - size + 1)
+    return F.when(
+        F.char_length(text) >= size,
+        F.array_distinct(F.transform(starts, lambda at: F.substr(text, at, size))),
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def is_hit(method: Column, status: Column) -> Column:

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 _ABSOLUTE = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"
 _PATH = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)"
 
+# Web schemes take any number of slashes of either kind before the host, and
+# back slashes as slashes in the path. User, host, port and path, in this order.
+_WEB = r"(?i)^(https?|ftp|wss?):"
+_WEB_PATH = (
+    _WEB
+    + r"[/\\]*(?:[^/\\?#]*@)?"
+    + r"(?:\[[0-9a-f:.]+\]|[^\x00-\x20/\\?#@:<>^|\[\]\x7F]+)"
+    + r"(?::[0-9]{0,5})?((?:[/\\][^?#]*)?)(?:[?#]|\z)"
+)
+_BLANK_ENDS = r"^[\x00-\x20]+|[\x00-\x20]+\z"
+_DROPPED = r"[\t\n\r]"
+
 # Characters a URL path writes as %XX (fixed by the URL standard).
 _ENCODED = '[^!-~]|["<>`{}]'
 
@@ -47,11 +59,17 @@ def _fold_dots(path: Column) -> Column:
 def url_path(url: Column) -> Column:
     """Path of an absolute URL, ``/`` if it has none; other text comes back as is.
 
-    Non-ASCII and unsafe characters are percent-encoded and ``.``/``..``
-    segments folded, as a browser does before it sends the request. Plain
-    paths skip both steps.
+    As a browser reads it: blanks and control characters around the URL, tabs
+    and line ends in it are dropped; a web URL may have back slashes, or another
+    number of slashes before its host. Non-ASCII and unsafe characters are
+    percent-encoded and ``.``/``..`` segments folded. Plain paths skip both
+    steps.
     """
-    path = F.regexp_extract(url, _PATH, 1)
+    clean = F.regexp_replace(F.regexp_replace(url, _BLANK_ENDS, ""), _DROPPED, "")
+    web = clean.rlike(_WEB)
+    web_path = F.translate(F.regexp_extract(clean, _WEB_PATH, 2), "\\", "/")
+    path = F.when(web, web_path).otherwise(F.regexp_extract(clean, _PATH, 1))
     encoded = F.when(path.rlike(_ENCODED), _percent_encode(path)).otherwise(path)
     folded = F.when(encoded.rlike(_HAS_DOTS), _fold_dots(encoded)).otherwise(encoded)
-    return F.when(~url.rlike(_ABSOLUTE), url).when(path == "", F.lit("/")).otherwise(folded)
+    absolute = (web & clean.rlike(_WEB_PATH)) | (~web & clean.rlike(_ABSOLUTE))
+    return F.when(~absolute, url).when(path == "", F.lit("/")).otherwise(folded)

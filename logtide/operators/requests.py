@@ -6,25 +6,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logtide.functions import requests as rq
 from logtide.functions.requests import BotMap
+from logtide.sources.lookups import bots_table
+
+#: Patterns of a list that are tested one by one on every request.
+BOT_CHAIN = 64
+#: Characters of the substrings that patterns are looked up by.
+GRAM = 4
 
 
 def classify(log: DataFrame, bots: BotMap | DataFrame) -> DataFrame:
     """One classified row per request of the day its partition stands for.
 
-    ``bots`` is the ordered bot list, or a bot table where the list is too long
-    for a chain of conditions. Missing addresses and paths count as ``''``, so
+    ``bots`` is the ordered bot list, or a bot table; a list too long for a chain
+    of conditions is looked up as a table. Missing addresses and paths count as ``''``, so
     a request without an address still is a visitor. Rows whose ``date`` is not
     the partition's day are dropped.
     """
     agent = F.coalesce("cs_User_Agent", F.lit(""))
     log = log.where(F.col("date") == F.col("dt").cast("string"))
+    if not isinstance(bots, DataFrame) and len(bots) > BOT_CHAIN:
+        bots = bots_table(log.sparkSession, bots)
     if isinstance(bots, DataFrame):
-        # Patterns are tested once per user agent. The agents may be many, so
+        # Patterns are looked up once per user agent. The agents may be many, so
         # which side is broadcast, if any, is the planner's choice by size.
-        names = bot_dimension(log, bots).where(F.col("bot_name").isNotNull())
+        names = known_bots(log, bots)
         log = log.join(names.withColumnRenamed("ua", "cs_User_Agent"), "cs_User_Agent", "left")
         name = F.col("bot_name")
     else:
@@ -55,22 +64,55 @@ def classified_counts(requests: DataFrame) -> DataFrame:
     )
 
 
-def bot_entries(bots: DataFrame) -> Column:
-    """The bot table as one array in priority order.
+def bot_index(bots: DataFrame) -> DataFrame:
+    """``(gram, priority, pattern, bot_name)``: each pattern under one of its substrings.
 
-    The table is configuration, a row per known bot, so the array is small. It
-    reaches the rows as a scalar subquery: no join, and no pair of user agent
-    and pattern is ever a row.
+    Of a pattern's substrings of ``GRAM`` characters (its whole text, if it is
+    shorter) the one that fewest patterns have, so a lookup finds few patterns.
     """
-    entry = F.struct("priority", "pattern", "bot_name")
-    return bots.agg(F.sort_array(F.collect_list(entry))).scalar()
+    size = F.least(F.char_length("pattern"), F.lit(GRAM))
+    each = bots.where(F.col("pattern").isNotNull()).select(
+        "priority", "pattern", "bot_name", F.explode(rq.grams(F.col("pattern"), size)).alias("gram")
+    )
+    often = F.count("*").over(Window.partitionBy("gram"))
+    rarest = Window.partitionBy("priority", "pattern", "bot_name").orderBy("often", "gram")
+    return (
+        each.withColumn("often", often)
+        .withColumn("place", F.row_number().over(rarest))
+        .where(F.col("place") == 1)
+        .select("gram", "priority", "pattern", "bot_name")
+    )
+
+
+def _user_agents(log: DataFrame) -> DataFrame:
+    return log.select(F.coalesce("cs_User_Agent", F.lit("")).alias("ua")).distinct()
+
+
+def known_bots(log: DataFrame, bots: DataFrame) -> DataFrame:
+    """``(ua, bot_name)`` of the distinct user agents of the log that are a bot's.
+
+    An agent meets only the patterns whose gram it holds, by an equi-join; the
+    exact test and the priority decide between these.
+    """
+    index = bot_index(bots)
+    sizes = index.agg(F.collect_set(F.char_length("gram"))).scalar()
+    held = F.flatten(F.transform("sizes", lambda size: rq.grams(F.col("ua"), size)))
+    # With explode_outer no filter reaches the agents, which bot_dimension reads
+    # once more, from the same shuffle.
+    looked_up = (
+        _user_agents(log).withColumn("sizes", sizes).select("ua", F.explode_outer(held).alias("gram"))
+    )
+    return (
+        looked_up.join(index, "gram")
+        .where((F.col("ua") != "") & F.col("ua").contains(F.col("pattern")))
+        .groupBy("ua")
+        .agg(F.min(F.struct("priority", "pattern", "bot_name"))["bot_name"].alias("bot_name"))
+    )
 
 
 def bot_dimension(log: DataFrame, bots: DataFrame) -> DataFrame:
-    """Bot name of every distinct user agent of the log."""
-    agents = log.select(F.coalesce("cs_User_Agent", F.lit("")).alias("ua")).distinct()
-    name = rq.bot_name_from(F.col("ua"), F.col("bot_entries"))
-    return agents.withColumn("bot_entries", bot_entries(bots)).select("ua", name.alias("bot_name"))
+    """Bot name of every distinct user agent of the log, null for those of people."""
+    return _user_agents(log).join(known_bots(log, bots), "ua", "left")
 
 
 #: What the reports handle by a default, or leave out.

@@ -356,6 +356,19 @@ def oracle_sql() -> dict[str, str]:
               WHEN contains("cs_User_Agent", 'YandexBot') THEN 'Yandex'
               WHEN contains("cs_User_Agent", 'Applebot') THEN 'Apple' END AS bot_name
               FROM access_log""",
+        "bot_dimension_long_list": _LOG
+        + """, agents AS (SELECT DISTINCT coalesce("cs_User_Agent", '') AS ua FROM access_log),
+              patterns (priority, pattern, bot_name) AS (
+                VALUES (0, 'Googlebot-Image', 'Google Images'), (1, 'Googlebot', 'Google'),
+                       (2, 'DuckDuckBot', 'DuckDuckGo'), (3, 'bingbot', 'Bing'),
+                       (4, 'AhrefsBot', 'Ahrefs'), (5, 'SemrushBot', 'Semrush'),
+                       (6, 'YandexBot', 'Yandex'), (7, 'Applebot', 'Apple')
+                UNION ALL
+                SELECT DISTINCT 1000 + user_id, 'Bot/' || user_id || '.', 'Bot ' || user_id
+                FROM events WHERE user_id IS NOT NULL)
+              SELECT ua, arg_min(bot_name, priority) AS bot_name
+              FROM agents LEFT JOIN patterns ON ua <> '' AND contains(ua, pattern)
+              GROUP BY ua""",
         "data_quality": _LOG + _QUALITY.format(keys="domain") + " SELECT * FROM quality",
         "calendar_days": _LOG
         + """ SELECT dt, CAST(day(dt) AS INTEGER) AS day, strftime(dt, '%b') AS month_label,

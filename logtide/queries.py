@@ -119,6 +119,17 @@ def _bitmap_year_totals(i: _Inputs) -> DataFrame:
     return rollups.stored_traffic(i.traffic("day"), "year", exact=exact)
 
 
+def _bot_dimension_long_list(i: _Inputs) -> DataFrame:
+    """The bots and, after them, a pattern for every user of the log."""
+    users = i.spark.read.parquet(f"{i.sf_dir}/events.parquet").where("user_id IS NOT NULL")
+    more = users.select("user_id").distinct().selectExpr(
+        "CAST(1000 + user_id AS INT) AS priority",
+        "concat('Bot/', user_id, '.') AS pattern",
+        "concat('Bot ', user_id) AS bot_name",
+    )
+    return req.bot_dimension(i.log, bots_table(i.spark, BOTS).unionByName(more))
+
+
 def _calendar_days(i: _Inputs) -> DataFrame:
     first, last = i.months
     starts = F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))
@@ -433,6 +444,7 @@ _QUERIES: dict[str, Callable[[_Inputs], DataFrame]] = {
     "access_log_narrow": _access_log_narrow,
     "classified_requests": lambda i: req.classified_counts(i.requests),
     "bot_dimension": lambda i: req.bot_dimension(i.log, bots_table(i.spark, BOTS)),
+    "bot_dimension_long_list": _bot_dimension_long_list,
     "data_quality": lambda i: req.data_quality(i.log),
     "calendar_days": _calendar_days,
     # days

@@ -33,15 +33,11 @@ def test_first_matching_bot_pattern_wins(spark):
     assert result == list(AGENTS.values())
 
 
-def test_bot_map_as_data_gives_the_same_names(spark):
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("priority"), F.lit(p).alias("pattern"), F.lit(n).alias("bot_name"))
-            for i, (p, n) in enumerate(BOTS)
-        ]
-    )
-    result = apply(spark, lambda c: rq.bot_name_from(c, entries), list(AGENTS))
-    assert result == list(AGENTS.values())
+def test_grams(spark):
+    frame = spark.createDataFrame(
+        [("abab", 2), ("abc", 3), ("ab", 3), ("ab", 0), ("", 0), ("", 1)], "t string, n int"
+    ).select(rq.grams(F.col("t"), F.col("n")).alias("g"))
+    assert [r["g"] for r in frame.collect()] == [["ab", "ba"], ["abc"], [], [""], [""], []]
 
 
 def test_empty_bot_map(spark):
@@ -216,5 +212,24 @@ def test_url_path(spark):
         "https://example.com/a/%2E%2e/b": "/b",
         "https://example.com/a/...": "/a/...",
         "https://example.com/.hidden": "/.hidden",
+        # What a browser forgives.
+        "  https://example.com/a \n": "/a",
+        "\x01https://example.com/a\x1f": "/a",
+        "https://exam\tple.com/a\r\n/b": "/a/b",
+        "https:/example.com/a": "/a",
+        "https:example.com/a": "/a",
+        "https:////example.com/a": "/a",
+        "HTTPS:\\\\example.com\\a\\..\\b?c\\d": "/b",
+        "https://example.com\\": "/",
+        "https://[::1]:8080/six": "/six",
+        "https://user:word@example.com:/p": "/p",
+        "https://example.com:": "/",
+        # What it does not.
+        "https://": "https://",
+        " https:///?q": " https:///?q",
+        "https://exa mple.com/a": "https://exa mple.com/a",
+        "https://example.com:port/a": "https://example.com:port/a",
+        " /relative": " /relative",
+        None: None,
     }
     assert apply(spark, url_path, list(expected)) == list(expected.values())

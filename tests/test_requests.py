@@ -208,6 +208,35 @@ def test_bot_table_in_place_of_the_list(spark):
     assert rows_of(by_table) == rows_of(by_list)
 
 
+def test_long_bot_list_is_looked_up(spark):
+    bots = [(f"crawler-{i:04d}", f"C{i}") for i in range(5000)]
+    bots[10:10] = [("ab", "short"), ("Mozilla/5.0 (x; Zbot", "long"), ("crawler-0003 beta", "late"), ("é", "one")]
+    agents = [
+        "crawler-4999/1", "x crawler-0003 beta", "crawler-000", "cab", "a", "é", "Mozilla/5.0 (x; Zbot)",
+        "Mozilla/5.0 (x; Ybot)", "crawler-0020 crawler-0010", "", None, "crawler-4999/1",
+    ]
+    rows = [row(agent=agent) for agent in agents]
+    first = {a: next((n for p, n in bots if a and p in a), None) for a in agents if a is not None}
+    dimension = bot_dimension(log(spark, rows), bots_table(spark, bots))
+    assert {r["ua"]: r["bot_name"] for r in dimension.collect()} == first
+    classified = classify(log(spark, rows), bots)
+    expected = [first.get(a) for a in agents]
+    assert sorted(map(str, expected)) == sorted(str(r["bot_name"]) for r in classified.collect())
+    plan = classified._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "filter(" not in plan
+
+
+def test_bot_tables_at_their_ends(spark):
+    rows = [row(agent="any"), row(agent="")]
+    schema = "priority int, pattern string, bot_name string"
+    empty = spark.createDataFrame([], schema)
+    assert rows_of(bot_dimension(log(spark, rows), empty)) == [("", None), ("any", None)]
+    # A pattern without characters is in every agent that has some.
+    entries = [(0, None, "nobody"), (1, "", "anybody"), (0, "nyx", "other")]
+    odd = spark.createDataFrame(entries, schema)
+    assert rows_of(bot_dimension(log(spark, rows), odd)) == [("", None), ("any", "anybody")]
+
+
 def test_sites_do_not_mix(spark):
     both = log(spark, [row(), row(ip="2")]).unionByName(log(spark, [row()], "other.org"))
     days = calendars.site_days(sites_table(spark, [Site("example.com"), Site("other.org")]), DAY, DAY)
