@@ -18,7 +18,7 @@ from logtide.functions.requests import BotMap
 from logtide.operators import rollups
 from logtide.operators.requests import classify
 from logtide.plans.reports import day_metrics
-from logtide.plans.state import read_state, state_version, write_state
+from logtide.plans.state import read_state, state_version, write_changes
 from logtide.plans.tables import write_partitioned
 from logtide.schema import (
     COMPACT_SORT_KEYS,
@@ -131,10 +131,10 @@ def _held_days(spark: SparkSession, table: str, days: DataFrame) -> DataFrame:
     return partition_days(spark, table, span["domains"] or None, span["first"], span["last"])
 
 
-def _in_state(
+def _pending_rows(
     state: DataFrame, days: DataFrame, listing: DataFrame | None, as_of: DateLike, number: int
 ) -> DataFrame:
-    """The state with these days pending, made from the files of the listing.
+    """Rows of these days for the state: pending, made from the files of the listing.
 
     A day that is read again only because it is, or was, not over keeps its
     revision if its files are those it was made from; any other gets ``number``.
@@ -163,8 +163,7 @@ def _in_state(
             "revision": F.when(same, F.col("old_revision")).otherwise(F.lit(number).cast("long")),
         }
     )
-    others = state.join(days.select(*DAY_KEYS), DAY_KEYS, "left_anti")
-    return others.unionByName(fresh.select(*state.columns))
+    return fresh.select(*state.columns)
 
 
 def mark_pending(
@@ -176,24 +175,20 @@ def mark_pending(
 ) -> None:
     """Note that a run on these days has begun; until it ends they are planned again."""
     number = state_version(spark, root) + 1
-    write_state(spark, root, _in_state(read_state(spark, root), days, listing, as_of, number))
+    write_changes(spark, root, _pending_rows(read_state(spark, root), days, listing, as_of, number))
 
 
 def mark_done(spark: SparkSession, days: DataFrame, root: str) -> None:
     """Note that the run on these days has ended."""
-    own = days.select(*DAY_KEYS, F.lit(True).alias("own"))
     visited = _held_days(spark, f"{root}/{VISITORS}", days).withColumn("visited", F.lit(True))
-    state = (
+    done = (
         read_state(spark, root)
-        .join(own, DAY_KEYS, "left")
+        .join(days.select(*DAY_KEYS), DAY_KEYS, "left_semi")
         .join(visited, DAY_KEYS, "left")
-        .withColumn("pending", F.col("pending") & F.col("own").isNull())
-        .withColumn(
-            "has_visitors",
-            F.when(F.col("own"), F.col("visited").isNotNull()).otherwise(F.col("has_visitors")),
-        )
+        .withColumn("pending", F.lit(False))
+        .withColumn("has_visitors", F.col("visited").isNotNull())
     )
-    write_state(spark, root, state)
+    write_changes(spark, root, done)
 
 
 def _planned_rows(log: Log, plan: DataFrame, days: set[tuple[str, date]]) -> DataFrame:

@@ -1,19 +1,25 @@
-"""Small tables in numbered versions, and the state of a refresh, which is one.
+"""Small tables in numbered versions, and the state of a refresh.
 
 A version is written whole and counts once it is complete, so a run that ends
-early leaves the version before it in force. The state has one row per site and
-day.
+early leaves the version before it in force.
+
+The state has one row per site and day, and is a log: a version holds the rows
+that changed, and the newest row of a day counts. Now and then all rows are
+written together, under the number of the last change they contain.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from logtide.schema import STATE_SCHEMA
+from logtide.schema import DAY_KEYS, STATE_SCHEMA
 from logtide.sources.storage import complete_versions, drop_partitions, settled
 
 STATE = "sync_state"
+#: Versions of changes after which all rows are written together.
+MERGE_AFTER = 16
 
 
 def read_version(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -37,14 +43,55 @@ def write_version(spark: SparkSession, folder: str, rows: DataFrame, schema: Str
     drop_partitions(spark, [version for n, version in older.items() if n < number - 1])
 
 
+def _state_versions(spark: SparkSession, root: str) -> tuple[dict[int, str], dict[int, str]]:
+    """Folders of the states written together, and of the changes, by number."""
+    folder = f"{root}/{STATE}"
+    return complete_versions(spark, f"{folder}/whole"), complete_versions(spark, folder)
+
+
 def state_version(spark: SparkSession, root: str) -> int:
     """The version in force; 0 before the first refresh."""
-    return max(complete_versions(spark, f"{root}/{STATE}"), default=0)
+    whole, changes = _state_versions(spark, root)
+    return max([*whole, *changes], default=0)
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame:
-    return read_version(spark, f"{root}/{STATE}", STATE_SCHEMA)
-
-
-def write_state(spark: SparkSession, root: str, state: DataFrame) -> None:
-    write_version(spark, f"{root}/{STATE}", state, STATE_SCHEMA)
+    """The state in force: the newest row of each site and day."""
+    whole, changes = _state_versions(spark, root)
+    base = max(whole, default=0)
+    folders = [whole[n] for n in whole if n == base] + [changes[n] for n in changes if n > base]
+    if not folders:
+        return spark.createDataFrame([], STATE_SCHEMA)
+    names = [f.name for f in STATE_SCHEMA.fields]
+    others = [n for n in names if n not in DAY_KEYS]
+    version = F.regexp_extract("_metadata.file_path", ".*/version=([0-9]+)/", 1).cast("long")
+    return (
+        spark.read.schema(STATE_SCHEMA)
+        .parquet(*folders)
+        .select(*names, version.alias("version"))
+        .groupBy(*DAY_KEYS)
+        .agg(F.max_by(F.struct(*others), "version").alias("row"))
+        .select(*[n if n in DAY_KEYS else f"row.{n}" for n in names])
+    )
+
+
+def write_changes(spark: SparkSession, root: str, changes: DataFrame) -> None:
+    """Put changed or new rows of the state in force, one for a site and day.
+
+    ``changes`` may be made from the state: what is read stays until the next
+    but one time that all rows are written together.
+    """
+    folder = f"{root}/{STATE}"
+    names = [f.name for f in STATE_SCHEMA.fields]
+    number = state_version(spark, root) + 1
+    # A number left by a run that ended early is overwritten.
+    rows = changes.select(*names).hint("rebalance")
+    rows.write.mode("overwrite").parquet(f"{folder}/version={number}")
+    whole, written = _state_versions(spark, root)
+    base = max(whole, default=0)
+    if sum(n > base for n in written) < MERGE_AFTER:
+        return
+    together = read_state(spark, root).hint("rebalance")
+    together.write.mode("overwrite").parquet(f"{folder}/whole/version={number}")
+    old = [path for n, path in written.items() if n <= base]
+    drop_partitions(spark, old + [path for n, path in whole.items() if n < base])

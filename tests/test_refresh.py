@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logtide.operators import calendars
-from logtide.plans import compaction, jobs, refresh, reports
+from logtide.plans import compaction, jobs, refresh, reports, state
 from logtide.plans.state import read_state, state_version
 from logtide.sources import logs as log_source
 from logtide.sources.commits import partition_files
@@ -121,6 +121,42 @@ def test_interrupted_refresh_is_made_up_for(spark, tmp_path, monkeypatch):
     assert refresh.refresh(spark, grown, wanted, root, BOTS, D3).count() == 0
 
 
+def test_state_is_a_log_of_changes(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "tables")
+    wanted = calendars.site_days(sites_table(spark, [Site("example.com"), Site("idle.org")]), D1, D4)
+    refresh.refresh(spark, log(spark, [row()]), wanted, root, BOTS, date(2026, 3, 5))
+    known = state_version(spark, root)
+    forced = (F.col("dt") == D1) & (F.col("domain") == "example.com")
+    refresh.refresh(spark, log(spark, [row()]), wanted, root, BOTS, date(2026, 3, 6), forced)
+    written = [spark.read.parquet(f"{root}/sync_state/version={n}") for n in (known + 1, known + 2)]
+    for rows, pending in zip(written, (True, False), strict=True):
+        assert rows_of(rows, "domain", "dt", "pending") == [("example.com", "2026-03-01", pending)]
+    assert read_state(spark, root).count() == 8
+    # Written together under the number of the last change; what came before the
+    # whole before it goes.
+    monkeypatch.setattr(state, "MERGE_AFTER", 2)
+    before = rows_of(read_state(spark, root))
+    for n in range(1, 5):
+        state.write_changes(spark, root, read_state(spark, root).where(F.col("dt") == D1))
+        assert rows_of(read_state(spark, root)) == before
+        assert state_version(spark, root) == known + 2 + n
+    folders = {p.name for p in (tmp_path / "tables/sync_state/whole").iterdir()}
+    assert folders == {f"version={known + 3}", f"version={known + 5}"}
+    changes = {p.name for p in (tmp_path / "tables/sync_state").glob("version=*")}
+    assert changes == {f"version={known + n}" for n in (4, 5, 6)}
+
+
+def test_whole_state_that_was_not_finished_does_not_count(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "tables")
+    wanted = calendars.site_days(sites_table(spark, [Site("example.com")]), D1, D2)
+    monkeypatch.setattr(state, "MERGE_AFTER", 1)
+    refresh.refresh(spark, log(spark, [row()]), wanted, root, BOTS, D3)
+    before = rows_of(read_state(spark, root))
+    number = state_version(spark, root)
+    (tmp_path / f"tables/sync_state/whole/version={number}/_SUCCESS").unlink()
+    assert rows_of(read_state(spark, root)) == before
+
+
 def test_idle_days_are_not_rebuilt(spark, tmp_path):
     root = str(tmp_path / "tables")
     wanted = calendars.site_days(sites_table(spark, [Site("example.com")]), D1, D3)
@@ -218,7 +254,7 @@ def test_files_of_a_large_day_follow_each_other(spark, tmp_path):
     assert found["2026-03-01"].files > 3
     assert {r.overlapping_files for r in found.values()} == {0}
     assert sum(r.rows for r in found.values()) == 60_000
-    for file in (tmp_path / "compact").rglob("*.parquet"):
+    for file in (tmp_path / "compact").glob("domain=*/**/*.parquet"):
         stored = pq.read_table(file, partitioning=None).to_pylist()
         keys = [(r["sc_status"] or "", r["cs_uri_stem"]) for r in stored]
         assert keys == sorted(keys)
