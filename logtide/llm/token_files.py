@@ -20,7 +20,8 @@ import gc
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from codecs import charmap_decode
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,9 +42,8 @@ from logtide.llm.perfect_hash import PerfectHash, mixed
 
 #: Bytes of a shard's payload, about; a longer document is a shard by itself.
 SHARD_BYTES = 4 << 20
-#: Words whose ids a task keeps (twice), runs of words, and the longest of both.
-KEPT_WORDS = 250_000
-KEPT_RUNS = 400_000
+#: Words and runs of words whose ids a task keeps (twice), and the longest of them.
+KEPT_WORDS = 400_000
 KEPT_BYTES = 64
 #: Documents of a key range, which one task writes.
 RANGE_ROWS = 4_000
@@ -81,10 +81,12 @@ _SHARD_DDL = (
 # Runs of plain characters in lower case: letters of ASCII and Latin-1, digits,
 # and other printable ASCII but for the apostrophe. No normalization joins them.
 _RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-`{-~]+")
+# Texts of plain characters, in any case, and white space.
+_PLAIN_TEXT = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-`{-~ \t\n\r\x0b\x0c]*")
 
 
-def _byte_characters() -> dict[int, str]:
-    """What byte-level pre-tokenizers write for the bytes of Latin-1's letters.
+def _byte_characters() -> str:
+    """What byte-level pre-tokenizers write for each of the 256 bytes.
 
     Bytes that print stand for themselves, the others for the characters from
     256 on, in their order.
@@ -92,7 +94,18 @@ def _byte_characters() -> dict[int, str]:
     printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
     moved = [byte for byte in range(256) if byte not in printed]
     names = {byte: chr(byte) for byte in printed} | {b: chr(256 + n) for n, b in enumerate(moved)}
-    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+    return "".join(names[byte] for byte in range(256))
+
+
+class _Kept(dict):
+    """Ids by word; a word that is not there is asked for."""
+
+    def __init__(self, ask: Callable[[bytes], bytes]):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.ask(word)
 
 
 class WordIds:
@@ -101,68 +114,72 @@ class WordIds:
     The tokenizer drops white space, and neither its normalizer nor its split
     looks past it, so a text's ids are those of its words in a row. Words of
     plain characters go straight to the tokenizer's model, run by run, if that
-    gives what the whole tokenizer gives.
+    gives what the whole tokenizer gives. A run is kept like a word of its own,
+    so the letters of a word are the same entry whatever marks stand beside them.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        last = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1)
+        self.width = 2 if last < 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.words: dict[bytes, bytes] = {}
+        self.packed = [array(self.code, [id_]).tobytes() for id_ in range(last + 1)]
+        self.words: dict[bytes, bytes] = _Kept(self._ids)
         self.older: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.long: dict[bytes, bytes] = {}  # of the text at hand
         self.characters = _byte_characters()
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [token.content.lower().encode() for token in added]
         if any(len(content.split()) != 1 for content in self.added):
             raise ValueError(f"{path}: an added token holds white space")
+        self.direct = True
         self.direct = all(self._by_runs(word) == self._whole(word) for word in _SAMPLE.split())
+        self.words.clear()
 
     def _whole(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return array(self.code, ids).tobytes()
 
     def _run(self, run: str) -> bytes:
-        own = run if run.isascii() else run.translate(self.characters)
-        found = array(self.code, [token.id for token in self.model.tokenize(own)]).tobytes()
-        if len(run) <= KEPT_BYTES:
-            if len(self.runs) >= KEPT_RUNS:
-                self.runs.clear()
-            self.runs[run] = found
-        return found
+        own = run if run.isascii() else charmap_decode(run.encode(), "strict", self.characters)[0]
+        packed = self.packed
+        return b"".join([packed[token.id] for token in self.model.tokenize(own)])
 
     def _by_runs(self, word: str) -> bytes | None:
         """Ids of a word of plain characters alone; none for another."""
         low = word.lower()
         runs = _RUNS.findall(low)
-        if sum(map(len, runs)) != len(low):
+        if len(runs) == 1 and runs[0] == word:
+            return self._run(word)
+        if "".join(runs) != low:
             return None
-        known = self.runs.get
-        return b"".join([known(run) or self._run(run) for run in runs])
+        words = self.words
+        return b"".join([words[run.encode()] for run in runs])
 
     def _ids(self, word: bytes) -> bytes:
-        found = self.older.get(word)
+        kept, past = (self.words, self.older) if len(word) <= KEPT_BYTES else (self.long, self.long)
+        # Words in use come back from the older half.
+        found = past.get(word)
         if found is None and self.direct:
             found = self._by_runs(word.decode())
-        return self._whole(word.decode()) if found is None else found
+        if found is None:
+            found = self._whole(word.decode())
+        kept[word] = found
+        return found
 
     def of_text(self, text: str) -> bytes:
         raw = text.encode()
-        # The tokenizer puts words in lower case too, so fewer differ. Beyond ASCII
-        # the order of its steps matters, and added tokens are found before.
+        # The tokenizer puts words in lower case too, so fewer differ. Beyond plain
+        # characters the order of its steps matters, and added tokens are found before.
         low = raw.lower()
         if any(content in low for content in self.added):
             return b"".join([self._whole(word.decode()) for word in raw.split()])
-        words = (low if raw.isascii() else raw).split()
         if len(self.words) >= KEPT_WORDS:
-            # Words in use come back from the older half.
-            self.older, self.words = self.words, {}
-        fresh = {word: self._ids(word) for word in set(words).difference(self.words)}
-        self.words.update((word, ids) for word, ids in fresh.items() if len(word) <= KEPT_BYTES)
-        if len(fresh) == 0 or max(map(len, fresh)) <= KEPT_BYTES:
-            return b"".join(map(self.words.__getitem__, words))
-        return b"".join([self.words[w] if w in self.words else fresh[w] for w in words])
+            self.older, self.words = self.words, _Kept(self._ids)
+        self.long.clear()
+        plain = raw.isascii() or (self.direct and _PLAIN_TEXT.fullmatch(text))
+        return b"".join(map(self.words.__getitem__, (low if plain else raw).split()))
 
 
 @lru_cache(maxsize=1)

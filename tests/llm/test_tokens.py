@@ -120,6 +120,32 @@ def test_words_have_the_ids_of_the_text():
         assert words.of_text(text) == array(words.code, ids).tobytes(), text
 
 
+def test_letters_are_encoded_once_whatever_marks_stand_beside_them(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 12)
+    monkeypatch.setattr(token_files, "KEPT_RUNS", 12, raising=False)
+    words, asked = token_files.WordIds(WORDS), []
+
+    class Model:
+        def tokenize(self, run, model=words.model):
+            asked.append(run)
+            return model.tokenize(run)
+
+    words.model = Model()
+    long = "über" * 30
+    for n in range(40):
+        # The table is dropped every few texts; letters in use stay.
+        text = f"Ümlaut{'!' * n} {long} ({'x' * n}y) It's\x1c {long} É{'?' * n}"
+        ids = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert words.of_text(text) == array(words.code, ids).tobytes(), text
+        text = f"Ümlaut{'?' * n} {long} ({'z' * n}y)\x0b{long} É{'!' * n}"
+        ids = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert words.of_text(text) == array(words.code, ids).tobytes(), text
+    byte_level = {"ü": "Ã¼"}
+    assert asked.count("ümlaut".translate(str.maketrans(byte_level))) == 1
+    # Long words are kept while their text is at hand.
+    assert asked.count(long.translate(str.maketrans(byte_level))) == 80
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 70, 3000])
 def test_perfect_hash_is_minimal(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64))
